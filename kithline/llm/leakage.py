@@ -3,7 +3,7 @@
 The items are cut into overlapping chunks and put into an inverted index with BM25 impacts, grouped in blocks
 that keep, for each term, the largest impact of the block.  Every page is a query: the sum of its terms' block
 maxima bounds the score of all chunks of a block, and only blocks whose bound reaches a chunk's threshold are
-scored exactly (block-max WAND; the test of the pivots is done for all blocks at once, as vectors).  Items whose chunk
+scored exactly (block-max WAND; the lists of a passage's terms are traversed together, as vectors, so that all pivots are found at once).  Items whose chunk
 reaches its threshold are verified word by word on the page.
 
 Words are compared by a skeleton in which letters that scanners confuse are one letter, and a match is confirmed
@@ -33,7 +33,10 @@ SKELETON |= {"m": "rn", "w": "rr", "d": "oi", "ü": "ii", "ß": "ff"}
 
 
 class _Letters(dict):
-    """For str.translate: drops what is neither letter, digit nor white space."""
+    """For str.translate: drops what is neither letter, digit nor white space, and replaces some letters."""
+
+    def __init__(self, replaced: dict[str, str]):
+        super().__init__(str.maketrans(replaced))
 
     def __missing__(self, k: int) -> int | None:
         c = chr(k)
@@ -41,10 +44,9 @@ class _Letters(dict):
         return v
 
 
-LETTERS = _Letters()
-FOLD = str.maketrans(SKELETON)
+LETTERS, FOLD = _Letters({}), _Letters(SKELETON)
 #: Segments on in which the rest of a word broken at a segment's end is looked for, when presence is tested.
-NEAR = 8
+NEAR = 6
 #: Power of the log frequency ratio in that test; rare words decide.
 POWER = 2
 SEGMENT = re.compile(r"[\n\r\f\v]|[ \t]{2,}")
@@ -177,6 +179,8 @@ class Index:
                 self.need[k, j] = keep * min(sum(impact(t, bags[c]) for t in {*w[s : s + run], *zip(w[s : s + run], w[s + 1 : s + run])}) for s in range(len(w) - run + 1))
                 self.owner[k, j] = chunks[c][0]
             self.bound[terms, k] = self.tables[k, 1 : len(terms) + 1].max(axis=1)
+        self.mark = np.zeros(len(row) + 1, dtype=bool)
+        self.flat = self.tables.reshape(-1, block)
         self.least = self.need.min(axis=1) if blocks else np.zeros(0, dtype=np.float32)
 
     def terms(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -186,21 +190,25 @@ class Index:
         at = np.searchsorted(self.pairs, two)
         at[at == len(self.pairs)] = 0
         hit = at[self.pairs[at] == two] + self.size if len(self.pairs) else at[:0]
-        return np.unique(np.concatenate([words[words >= 0], hit]))
+        self.mark[words[words >= 0]] = True
+        self.mark[hit] = True
+        rows = np.flatnonzero(self.mark)
+        self.mark[rows] = False
+        return rows
 
     def candidates(self, rows: np.ndarray) -> set[int]:
         """Items with a chunk that reaches its threshold."""
-        if not len(rows):
+        bound = np.add.reduce(self.bound.take(rows, axis=0), axis=0)
+        pivots = np.nonzero(bound >= self.least)[0]
+        if not len(pivots):
             return set()
-        pivots = np.nonzero(self.bound[rows].sum(axis=0) >= self.least)[0]
-        scores = self.tables[pivots, self.local[np.ix_(rows, pivots)]].sum(axis=0)
+        scores = np.add.reduce(self.flat.take(self.local.take(rows, axis=0).take(pivots, axis=1) + pivots * self.tables.shape[1], axis=0), axis=0)
         return set(self.owner[pivots][scores >= self.need[pivots]].tolist())
 
 
 def leaked(index: Index, text: str, run: int, window: int, reach: int, share: float) -> list[tuple[int, int]]:
     """(number of the item, words of its longest run) of each item of which the text has a run."""
-    clean = letters(text)
-    folded = segments(clean.translate(FOLD))
+    folded = segments(text.lower().translate(FOLD))
     n = sum(map(len, folded))
     if n < run:
         return []
@@ -209,25 +217,33 @@ def leaked(index: Index, text: str, run: int, window: int, reach: int, share: fl
     ends = np.zeros(n, dtype=bool)
     ends[np.cumsum([len(s) for s in folded]) - 1] = True
     of = np.repeat(np.arange(len(folded)), [len(x) for x in folded])
-    raw, best = None, {}
+    where: dict[int, list[list[int]]] = {}  # item -> stretches of words to verify; neighbouring passages make one
     for s in range(0, max(1, n - window // 2), window // 2):
-        found = index.candidates(index.terms(words[s : s + window], ends[s : s + window]))
-        if not found:
-            continue
-        lo, hi = of[max(0, s - window)], of[min(n, s + 2 * window) - 1] + 1
-        near = folded[lo:hi]
-        present = {w for x in near for w in x}
-        for k, x in enumerate(near):
-            present.update([x[-1] + y[0] for y in near[k + 1 : k + 1 + NEAR]])
-        for i in found:
-            if index.items[i].best_share(present, run) >= share:
-                raw = raw or segments(clean)
+        for i in index.candidates(index.terms(words[s : s + window], ends[s : s + window])):
+            at = where.setdefault(i, [])
+            if at and s <= at[-1][1]:
+                at[-1][1] = s + window
+            else:
+                at.append([s, s + window])
+    if not where:
+        return []
+    raw, best, known = None, {}, {}
+    for i, stretches in where.items():
+        for s, e in stretches:
+            lo, hi = of[max(0, s - window)], of[min(n, e + window) - 1] + 1
+            near = folded[lo:hi]
+            if (lo, hi) not in known:
+                present = known[lo, hi] = {w for x in near for w in x}
+                heads = [x[0] for x in near]
+                present.update([x[-1] + y for k, x in enumerate(near) for y in heads[k + 1 : k + 1 + NEAR]])
+            if index.items[i].best_share(known[lo, hi], run) >= share:
+                raw = raw or segments(letters(text))
                 best[i] = max(best.get(i, 0), index.items[i].longest_run(raw[lo:hi], near, reach))
     return [(i, k) for i, k in sorted(best.items()) if k >= run]
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.78, share: float = 0.9, block: int = 8, window: int = 120, reach: int = 60, shard_chars: int = 2_000_000,
+    documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.8, share: float = 0.9, block: int = 8, window: int = 120, reach: int = 60, shard_chars: int = 2_000_000,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """item_id, doc_id, n_words: each page that has `run` or more consecutive words of an item, and the longest run.

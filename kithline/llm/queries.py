@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithline.llm import chunking, leakage, merkle, mixture, quota, splits, variants
+from kithline.llm import chunking, leakage, merkle, mixture, quota, softlogic, splits, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,14 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d)[0]
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return softlogic.match_entities([_t(spark, d, f"name{i}") for i in (1, 2, 3)])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("name_id_a", "name_id_b")
+
+
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return splits.split_components(_t(spark, d, "ml_data_rvw"), _t(spark, d, "split_targets"), component="phone_number", row_key="review_id", label="category")
 
@@ -87,7 +95,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    listed = [p1_found, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p6_splits, p6_report, p7_found, p7_pages, p8_mixture, p8_report, p9_pieces]
+    listed = [p1_found, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p6_splits, p6_report, p7_found, p7_pages, p8_mixture, p8_report, p9_pieces]
     return {f.__name__: f for f in listed}
 
 
