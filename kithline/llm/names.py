@@ -35,28 +35,39 @@ SHORT = {
     "utd": "united", "no": "northern", "north": "northern", "so": "southern", "west": "western", "east": "eastern", "prof": "professional", "ctrl": "central", "elec": "electric", "med": "medical", "vet": "veterinary", "ins": "insurance", "solu": "solutions",
 }
 
-_SPLIT = re.compile(r"[^\w&+']+|_")
 _FORMAL: dict[str, set[str]] = {}
 for _formal, _forms in NICKNAMES.items():
     for _f in _forms.split():
         _FORMAL.setdefault(_f, set()).add(_formal)
 
 
+class _Signs(dict):
+    """For str.translate: apostrophes go, signs for `and` become the word, everything else between letters and digits a blank."""
+
+    def __missing__(self, k: int) -> int | str | None:
+        c = chr(k)
+        self[k] = v = k if c.isalnum() else None if c == "'" else " and " if c in "&+" else " "
+        return v
+
+
+_SIGNS = _Signs()
+
+
 def tokens(*fields: str | None) -> list[str]:
     """Lower-case words of the fields; signs for `and` are that word, apostrophes are dropped."""
-    out = []
-    for f in fields:
-        for w in _SPLIT.split((f or "").lower()):
-            w = "and" if w in ("&", "+") else "".join(c for c in w if c.isalnum())
-            if w:
-                out.append(w)
-    return out
+    return " ".join([f for f in fields if f]).lower().translate(_SIGNS).split()
 
 
 def edits(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance, or more than `most`."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -124,6 +135,7 @@ class Weights:
 
     def __init__(self, heavy: Mapping[str, float], rare: float, established: float = 0.15):
         self.heavy, self.rare, self.established = heavy, rare, established
+        self.least = log(1 / rare)
         self.given: dict[str, list[str]] = {}
         for t in {*heavy, *NICKNAMES, *_FORMAL}:
             if len(t) > 2:
@@ -131,7 +143,7 @@ class Weights:
         self.near_: dict[str, tuple[str, ...]] = {}
 
     def weigh(self, t: str) -> float:
-        return log(1 / max(self.heavy.get(t, self.rare), 1e-9)) * (0.3 if len(t) == 1 else 1.0)
+        return self.least if t not in self.heavy and len(t) > 1 else log(1 / max(self.heavy.get(t, self.rare), 1e-9)) * (0.3 if len(t) == 1 else 1.0)
 
     def alike(self, x: str, y: str) -> float:
         """likeness, but two frequent tokens of comparable frequency that differ in letters are two names."""
@@ -149,7 +161,7 @@ class Weights:
         if t not in self.near_:
             if len(self.near_) > 100_000:
                 self.near_.clear()
-            self.near_[t] = (t, *(g for g in self.given.get(t[0], ()) if edits(t, g, 1) <= 1))
+            self.near_[t] = (t, *(g for g in self.given.get(t[0], ()) if -2 < len(g) - len(t) < 2 and edits(t, g, 1) <= 1))
         return self.near_[t]
 
     def indirect(self, x: str, y: str) -> float:
@@ -183,8 +195,9 @@ def compare(one: Sequence[str], two: Sequence[str], w: Weights, mid1: Sequence[s
     b = [t for t in two if t not in TITLES and t not in FILLERS] or list(two)
     if not a or not b:
         return 0.0
-    a = _joined(a, b)
-    b = _joined(b, a)
+    if len(a) != len(b):
+        a = _joined(a, b)
+        b = _joined(b, a)
     pairs = sorted(((s * min(w.weigh(x), w.weigh(y)), s, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := w.alike(x, y)) > 0), reverse=True)
     left, right, score, strong = set(range(len(a))), set(range(len(b))), 0.0, False
 

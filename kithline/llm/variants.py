@@ -12,12 +12,13 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 from math import ceil
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithline.llm.merkle import field_letters
 from kithline.llm.names import Weights, compare, tokens
+from kithline.operators.skew import cut_lineage
 
 #: A token or q-gram that stands in at least this share of the names is frequent; a name has few, so the tables have some 10,000 entries at most.
 FREQUENT = 1e-4
@@ -35,9 +36,11 @@ def token_words(*fields: str) -> Column:
 def frequencies(names: DataFrame, first: str, last: str) -> tuple[dict[str, float], int]:
     """(share of the distinct names that have it, for each frequent token; number of distinct names)."""
     distinct = names.select(F.lower(first).alias("f"), F.lower(last).alias("l")).distinct()
-    n = distinct.count()
-    count = distinct.select(F.explode(token_words("f", "l")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"))
-    rows = count.where(F.col("k") >= max(SUPPORT, FREQUENT * n)).collect()
+    words = F.array_append(token_words("f", "l"), F.lit(""))  # the empty word counts the names
+    count = distinct.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"))
+    count = cut_lineage(count.where(F.col("k") >= SUPPORT))
+    n = next((r.k for r in count.where("t = ''").collect()), 1)
+    rows = count.where((F.col("k") >= FREQUENT * n) & (F.col("t") != "")).collect()
     return {r.t: r.k / n for r in rows}, n
 
 
@@ -45,23 +48,23 @@ def grams(words: Sequence[str], q: int = 2) -> set[str]:
     return {p[i : i + q] for w in words for p in (f"^{w}$",) for i in range(len(p) - q + 1)}
 
 
-class PrefixFilter:
-    """Whether two sets can have a Jaccard similarity of `least`: only if their prefixes, rarest members first, meet."""
+class Name:
+    """A name's tokens, the set of their q-grams, and that set's prefix: the rarest members, of which similar sets share one."""
 
-    def __init__(self, frequency: Mapping[str, float], least: float):
-        self.frequency, self.least = frequency, least
-        self.prefix = lru_cache(maxsize=50_000)(self._prefix)
+    __slots__ = ("words", "grams", "prefix")
 
-    def _prefix(self, words: tuple[str, ...]) -> tuple[frozenset[str], frozenset[str]]:
-        g = sorted(grams(words), key=lambda x: (self.frequency.get(x, 0.0), x))
-        return frozenset(g[: len(g) - ceil(self.least * len(g)) + 1]), frozenset(g)
+    def __init__(self, words: Sequence[str], frequency: Mapping[str, float], least: float):
+        self.words, self.grams = words, grams(words)
+        get = frequency.get
+        order = sorted([(get(x, 0.0), x) for x in self.grams])
+        self.prefix = {x for _, x in order[: len(order) - ceil(least * len(order)) + 1]}
 
-    def __call__(self, a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-        (p, g), (q, h) = self.prefix(a), self.prefix(b)
-        if p.isdisjoint(q):
+    def near(self, other: Name, least: float) -> bool:
+        """Whether the Jaccard similarity of the q-grams is at least that."""
+        if self.prefix.isdisjoint(other.prefix):
             return False
-        both = len(g & h)
-        return both >= self.least * (len(g) + len(h) - both)
+        both = len(self.grams & other.grams)
+        return both >= least * (len(self.grams) + len(other.grams) - both)
 
 
 def gram_frequencies(heavy: Mapping[str, float]) -> dict[str, float]:
@@ -93,20 +96,16 @@ def link_variants(
     if variants_only:
         picked = picked.where(~(field_letters("f1").eqNullSafe(field_letters("f2")) & field_letters("l1").eqNullSafe(field_letters("l2"))))
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, order = shared.value
-        weights, near = Weights(heavy, FREQUENT), PrefixFilter(order, least_grams)
-        words = lru_cache(maxsize=50_000)(lambda *x: tuple(tokens(*x)))
-
-        @lru_cache(maxsize=100_000)
-        def score(f1, l1, m1, f2, l2, m2) -> float:
-            a, b = words(f1, l1), words(f2, l2)
-            return compare(a, b, weights, words(m1), words(m2)) if near(a, b) else 0.0
-
+        weights = Weights(heavy, FREQUENT)
+        name = lru_cache(maxsize=50_000)(lambda f, l: Name(tokens(f, l), order, least_grams))
         for x in batches:
-            names = x[["f1", "l1", "m1", "f2", "l2", "m2"]].astype(object).where(lambda d: d.notna(), None)
-            s = [score(*r) for r in names.itertuples(index=False, name=None)]
-            out = pd.DataFrame({key: x["k"], "similarity": s})
-            yield out[out["similarity"] >= least_similarity]
-
-    return picked.mapInPandas(verify, f"`{key}` {rows.schema[key].dataType.simpleString()}, similarity double")
+            keys, found = x.column("k"), []
+            for i, (f1, l1, m1, f2, l2, m2) in enumerate(zip(*[x.column(c).to_pylist() for c in ("f1", "l1", "m1", "f2", "l2", "m2")])):
+                a, b = name(f1, l1), name(f2, l2)
+                if a.near(b, least_grams) and (s := compare(a.words, b.words, weights, tokens(m1), tokens(m2))) >= least_similarity:
+                    found.append((i, s))
+            yield pa.record_batch([keys.take(pa.array([i for i, _ in found], pa.int64())), pa.array([s for _, s in found], pa.float64())], names=[key, "similarity"])
+
+    return picked.mapInArrow(verify, f"`{key}` {rows.schema[key].dataType.simpleString()}, similarity double")
