@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kithline.operators.skew import cut_lineage
+
 #: Groups above HOT rows are salted SALT ways.  Among N rows there are at most N / HOT of them: for 10 billion rows, 10,000 digests are broadcast.
 HOT, SALT = 1_000_000, 64
 
@@ -21,17 +23,17 @@ def field_letters(c: Column | str) -> Column:
 
 
 def leaf(value: Column) -> Column:
-    """Digest of a leaf; a null leaf has a digest of its own, different from that of every text."""
-    return F.when(value.isNull(), F.md5(F.lit("0"))).otherwise(F.md5(F.concat(F.lit("1"), value.cast("string"))))
+    """Digest of a leaf; a null leaf has a digest of its own."""
+    return F.when(value.isNull(), F.xxhash64(F.lit("null"))).otherwise(F.xxhash64(F.lit("leaf"), value.cast("string")))
 
 
 def ordered(*children: Column) -> Column:
-    return F.md5(F.concat(F.lit("o"), *children))
+    return F.xxhash64(F.lit("ordered"), *children)
 
 
 def unordered(children: Column) -> Column:
     """children: an array of digests."""
-    return F.md5(F.concat(F.lit("u"), F.array_join(F.array_sort(children), "")))
+    return F.xxhash64(F.lit("unordered"), F.array_sort(children))
 
 
 def collapse_copies(records: DataFrame, *, key: str, exact: Sequence[str], free: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -40,28 +42,28 @@ def collapse_copies(records: DataFrame, *, key: str, exact: Sequence[str], free:
     Two records are copies if the columns `exact` are equal as they stand (null equals null) and the columns `free`, reduced
     to letters and digits in lower case, hold the same values in whatever order, fields without letters counting as absent.
 
-    collapsed: key (the smallest), n_copies: one row for each record.  copies: pair_id_a (smallest key), pair_id_b: one row for
-    every other copy.  Rows are aggregated by root digest, with partial aggregation, so a group that holds a third of all rows costs no task
-    more than others.  For copies the rows meet their group's state again; that join's left side is split by salt where a group is large (see HOT).
+    collapsed: key (the smallest), n_copies: one row for each record.  copies: pair_id_a (smallest key), pair_id_b: one row for every other copy.
     A repeated key is one more copy in n_copies, and a row of copies only if it differs from the smallest.  Keys must not be null.
+
+    First only digests are counted, with partial aggregation, so that a group that holds a third of all rows costs no task more than others.
+    The records themselves are shuffled where a digest occurs several times; those are grouped by the whole tree, so a collision of digests
+    joins nothing that differs.  In joins, the rows of a large group are split by salt (see HOT).
     """
     kept = F.array_compact(F.array(*[field_letters(c) for c in free])) if free else F.array().cast("array<string>")
-    tree = records.select(F.col(key).alias("_key"), F.struct(*[F.col(c).cast("string").alias(f"e{i}") for i, c in enumerate(exact)], F.array_sort(kept).alias("free")).alias("_tree"))
+    tree = F.struct(*[F.col(c).cast("string").alias(f"e{i}") for i, c in enumerate(exact)], F.array_sort(kept).alias("free"))
+    rows = records.select(F.col(key).alias("_key"), tree.alias("_tree"))
     root = ordered(*[leaf(F.col(f"_tree.e{i}")) for i in range(len(exact))], unordered(F.transform("_tree.free", leaf)))
-    rows = tree.withColumn("_root", F.unhex(root))
-    # full comparison: a digest's trees are told apart, which differs from grouping by digest only where digests collide
-    state = rows.groupBy("_root").agg(F.min_by("_tree", "_key").alias("_first"), F.min("_key").alias("_min"), F.count(F.lit(1)).alias("_n"), F.min("_tree").alias("_lo"), F.max("_tree").alias("_hi"))
-    clean = state.where("_lo = _hi")
-    collided = state.where("not (_lo = _hi)").select("_root")
-    again = rows.join(collided, "_root", "left_semi").groupBy("_root", "_tree").agg(F.min("_key").alias("_min"), F.count(F.lit(1)).alias("_n"))
-    groups = clean.select("_root", F.col("_first").alias("_tree"), "_min", "_n").unionByName(again)
-    collapsed = groups.select(F.col("_min").alias(key), F.col("_n").alias("n_copies"))
-    several = groups.where("_n > 1").select(F.col("_root").alias("_r"), F.col("_tree").alias("_t"), "_min", "_n")
-    salts = F.when(F.col("_n") > HOT, SALT).otherwise(1)
-    several = several.withColumn("_s", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("_w", salts)
-    # a row doesn't know whether its group is large, so it meets the group under salt 0 unless its own salt is listed
-    large = several.where("_w > 1 and _s = 0").select(F.col("_r").alias("_root"), F.lit(True).alias("_large"))
-    marked = rows.join(F.broadcast(large), "_root", "left").withColumn("_s", F.when(F.col("_large"), F.pmod(F.xxhash64("_key"), F.lit(SALT)).cast("int")).otherwise(0)).drop("_large")
-    copies = marked.join(several.withColumnRenamed("_s", "_rs"), (F.col("_root") == F.col("_r")) & (F.col("_s") == F.col("_rs")) & (F.col("_tree") == F.col("_t"))).where("_key <> _min")
+    rows = rows.withColumn("_root", root)
+    state = rows.groupBy("_root").agg(F.min("_key").alias("_min"), F.count(F.lit(1)).alias("_n"))
+    parts = F.when(F.col("_n") > HOT, SALT).otherwise(1)
+    salt = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_key"), F.lit(SALT))).otherwise(0).cast("int")
+    several = state.where("_n > 1").select(F.col("_root").alias("_r"), parts.alias("_parts"))
+    large = several.where("_parts > 1").select(F.col("_r").alias("_root"), "_parts")
+    marked = rows.join(F.broadcast(large), "_root", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_salt", salt)
+    spread = several.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    matched = cut_lineage(marked.join(spread, (F.col("_root") == F.col("_r")) & (F.col("_salt") == F.col("_s"))).select("_root", "_tree", "_key", "_parts", "_salt"))
+    groups = matched.groupBy("_root", "_tree").agg(F.min("_key").alias("_min"), F.count(F.lit(1)).alias("_n"), F.max("_parts").alias("_parts"))
+    collapsed = state.where("_n = 1").select(F.col("_min").alias(key), F.col("_n").alias("n_copies")).unionByName(groups.select(F.col("_min").alias(key), F.col("_n").alias("n_copies")))
+    heads = groups.where("_n > 1").select(F.col("_root").alias("_r"), F.col("_tree").alias("_t"), "_min", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_s"))
+    copies = matched.join(heads, (F.col("_root") == F.col("_r")) & (F.col("_salt") == F.col("_s")) & (F.col("_tree") == F.col("_t"))).where("_key <> _min")
     return collapsed, copies.select(F.col("_min").alias("pair_id_a"), F.col("_key").alias("pair_id_b"))
-
