@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithline.operators import skew
+from kithline.functions import distance as D
+from kithline.functions import text
+from kithline.operators import evaluate, features, pairs, prepare, reshape, sampling, skew
+from kithline.plans import pipeline
+from kithline.plans.model import NameMatcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,9 +46,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return per_phone.join(F.broadcast(total), F.col("left_rows") >= F.col("total") * 0.02).select("phone_number")
 
 
-_SIDE = "(SELECT DISTINCT phone_number, {0} FROM ml_data)"
-
-
 @query("""
     WITH m AS (SELECT phone_number, count(*) AS n, sum(keep) AS k FROM ml_data WHERE phone_number IS NOT NULL GROUP BY 1),
     a AS (SELECT phone_number, count(*) AS n FROM (SELECT DISTINCT phone_number, first_name1, middle_name1, last_name1 FROM ml_data) GROUP BY 1),
@@ -59,3 +60,415 @@ def p3_per_phone(spark: SparkSession, d: str) -> DataFrame:
     sides = [[f"{p}_name{i}" for p in ("first", "middle", "last")] for i in (1, 2)]
     sets = skew.distinct_per_key(ml, "phone_number", {"distinct_names1": sides[0], "distinct_names2": sides[1], "distinct_pairs": sides[0] + sides[1]})
     return joined.join(sets, "phone_number").select("phone_number", F.col("left_rows").alias("n_rows"), "n_kept", "distinct_names1", "distinct_names2", "distinct_pairs", F.col("right_rows").alias("name_rows"), F.col("join_rows").alias("joined_rows"), F.col("n_kept_joined").alias("joined_kept"))
+
+
+# --- names and pairs ---
+
+_SIX = [f"{p}_name{i}" for p in ("first", "middle", "last") for i in (1, 2)]
+
+
+def _ascii(c: str):
+    return F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")
+
+
+def _pairs(spark: SparkSession, d: str, name: str = "ml_data") -> DataFrame:
+    """Pairs with names in lower-case ASCII letters and digits, over which both engines count letters alike."""
+    return table(spark, d, name).withColumns({c: _ascii(c) for c in _SIX})
+
+
+def _pairs_sql(name: str = "ml_data") -> str:
+    return f"(SELECT * REPLACE ({', '.join(f'''regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g') AS {c}''' for c in _SIX)}) FROM {name})"
+
+
+_SCORED = f"""(SELECT *, round_even(1 - d1 / nullif(n1, 0)::DOUBLE, 1) AS str_dist1, round_even(1 - d2 / nullif(n2, 0)::DOUBLE, 1) AS str_dist2, round_even(1 - (d1 + d2) / nullif(n1 + n2, 0)::DOUBLE, 1) AS str_dist_all
+    FROM (SELECT *, levenshtein(first_name1, first_name2) AS d1, levenshtein(last_name1, last_name2) AS d2, greatest(length(first_name1), length(first_name2)) AS n1, greatest(length(last_name1), length(last_name2)) AS n2 FROM {_pairs_sql()}))"""
+
+
+@query(f"SELECT str_dist_all, count(*) AS n_pairs FROM {_SCORED} GROUP BY 1")
+def pair_tier_counts(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.edit_scores(_pairs(spark, d)).groupBy("str_dist_all").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+@query(f"SELECT pair_id, str_dist1, str_dist2, str_dist_all FROM {_SCORED}")
+def pair_edit_scores(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.edit_scores(_pairs(spark, d)).select("pair_id", "str_dist1", "str_dist2", "str_dist_all")
+
+
+def _distinct(spark: SparkSession, d: str, i: int) -> DataFrame:
+    return pairs.distinct_names(table(spark, d, f"name{i}"))
+
+
+def _join_sql(a: int, b: int) -> str:
+    side = lambda i: f"(SELECT DISTINCT phone_number, lower(first_name) AS f, lower(middle_name) AS m, lower(last_name) AS l FROM name{i} WHERE first_name IS NOT NULL AND last_name IS NOT NULL)"
+    return f"SELECT x.phone_number, x.f AS first_name1, x.m AS middle_name1, x.l AS last_name1, y.f AS first_name2, y.m AS middle_name2, y.l AS last_name2 FROM {side(a)} x JOIN {side(b)} y ON x.phone_number = y.phone_number"
+
+
+@query(" UNION ALL ".join(_join_sql(a, b) for a, b in ((1, 2), (1, 3), (2, 3))))
+def pairs_cross_files(spark: SparkSession, d: str) -> DataFrame:
+    n = {i: _distinct(spark, d, i) for i in (1, 2, 3)}
+    return pairs.block_pairs(n[1], n[2]).unionByName(pairs.block_pairs(n[1], n[3])).unionByName(pairs.block_pairs(n[2], n[3]))
+
+
+@query(" UNION ALL ".join(_join_sql(a, a) for a in (1, 2)))
+def pairs_within_file(spark: SparkSession, d: str) -> DataFrame:
+    n = {i: _distinct(spark, d, i) for i in (1, 2)}
+    return pairs.block_pairs(n[1], n[1]).unionByName(pairs.block_pairs(n[2], n[2]))
+
+
+@query(f"SELECT phone_number, count(*) AS n_pairs FROM ({' UNION ALL '.join(_join_sql(a, b) for a, b in ((1, 2), (1, 3), (2, 3), (1, 1), (2, 2)))}) GROUP BY 1")
+def pairs_union_all(spark: SparkSession, d: str) -> DataFrame:
+    n = {i: _distinct(spark, d, i) for i in (1, 2, 3)}
+    return pairs.all_pairs(n[1], n[2], n[3]).groupBy("phone_number").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+_NA_SQL = "CASE WHEN {0} IN ('', ' ', '  ', '-', 'NULL', 'NA', '''na') THEN NULL ELSE {0} END AS {0}"
+_EXP = ["primary_key", "primary_phone", "match_code", "first_name", "last_name", "middle_initial"]
+
+
+@query(f"SELECT {', '.join(_NA_SQL.format(c) for c in _EXP)} FROM feed_exp")
+def null_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return text.null_tokens(table(spark, d, "feed_exp"))
+
+
+@query(f"SELECT * FROM (SELECT {', '.join(_NA_SQL.format(c) for c in _EXP)} FROM feed_exp) WHERE first_name IS NOT NULL OR middle_initial IS NOT NULL")
+def any_not_null(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.drop_all_null(text.null_tokens(table(spark, d, "feed_exp")), ["first_name", "middle_initial"])
+
+
+@query(f"""SELECT DISTINCT try_cast(regexp_replace(primary_phone, '[^0-9]', '', 'g') AS BIGINT) AS phone_number, regexp_replace(lower(first_name), '^\\s+|\\s+$', '', 'g') AS first_name, regexp_replace(lower(middle_initial), '^\\s+|\\s+$', '', 'g') AS middle_name, regexp_replace(lower(last_name), '^\\s+|\\s+$', '', 'g') AS last_name
+    FROM (SELECT {', '.join(_NA_SQL.format(c) for c in _EXP)} FROM feed_exp) WHERE first_name IS NOT NULL AND last_name IS NOT NULL""")
+def names_clean_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.clean_exp(table(spark, d, "feed_exp"))
+
+
+_SUBJECTS = {f"subject{i}": {"first_name": f"first_name{i}", "middle_name": f"middle_name{i}", "last_name": f"last_name{i}"} for i in (1, 2)}
+
+
+@query(" UNION ALL ".join(f"SELECT pair_id, phone_number, 'subject{i}' AS tu_subject, first_name{i} AS first_name, middle_name{i} AS middle_name, last_name{i} AS last_name FROM ml_data WHERE coalesce(first_name{i}, middle_name{i}, last_name{i}) IS NOT NULL" for i in (1, 2)))
+def unpivot_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.unpivot_groups(table(spark, d, "ml_data"), ["pair_id", "phone_number"], _SUBJECTS, "tu_subject")
+
+
+@query(" UNION ALL ".join(f"SELECT pair_id, 'phone_listing{i}' AS mcr_ord, middle_name{i} AS middle_name, {'keep' if i == 1 else 'NULL'} AS status FROM ml_data WHERE middle_name{i} IS NOT NULL" for i in (1, 2)))
+def unpivot_listings(spark: SparkSession, d: str) -> DataFrame:
+    groups = {f"phone_listing{i}": {"middle_name": f"middle_name{i}"} | ({"status": "keep"} if i == 1 else {}) for i in (1, 2)}
+    return reshape.unpivot_groups(table(spark, d, "ml_data"), ["pair_id"], groups, "mcr_ord", ["middle_name"])
+
+
+_ADDRESSES = """(SELECT phone_number, first_name, last_name, 'subject' || (1 + name_id % 2) AS tu_subject, '1-' || (1 + name_id % 3) AS tu_address, CASE WHEN first_seen IS NULL OR name_id % 4 = 0 THEN NULL ELSE 'since ' || year(first_seen) END AS full_address, CAST(last_seen AS VARCHAR) AS date_last_seen FROM name2)"""
+
+
+@query(f"""WITH t AS {_ADDRESSES}, r AS (SELECT DISTINCT phone_number, first_name, last_name, tu_subject, full_address, date_last_seen FROM t),
+    s AS (SELECT phone_number, first_name, last_name, min(tu_subject) AS tu_subject FROM r GROUP BY 1, 2, 3 HAVING count(*) = 1)
+    SELECT phone_number, first_name, last_name, tu_subject, tu_address, full_address, date_last_seen FROM t WHERE full_address IS NOT NULL OR date_last_seen IS NOT NULL
+    UNION ALL SELECT phone_number, first_name, last_name, tu_subject, '1-10', '**No Address Information Provided**', NULL FROM s""")
+def address_sentinel(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "name2").select(
+        "phone_number", "first_name", "last_name", F.concat(F.lit("subject"), (1 + F.col("name_id") % 2).cast("string")).alias("tu_subject"), F.concat(F.lit("1-"), (1 + F.col("name_id") % 3).cast("string")).alias("tu_address"),
+        F.when(F.col("first_seen").isNotNull() & (F.col("name_id") % 4 != 0), F.concat(F.lit("since "), F.year("first_seen").cast("string"))).alias("full_address"), F.col("last_seen").cast("string").alias("date_last_seen"),
+    )
+    return reshape.address_sentinel(t, ["phone_number", "first_name", "last_name"], "tu_subject", "tu_address", ["full_address", "date_last_seen"])
+
+
+@query("""SELECT doc_id, CAST(try_strptime(t, '%m/%d/%Y') AS DATE) AS parsed FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'n/a' WHEN doc_id % 11 = 0 THEN '13/45/1890' ELSE strftime(issue_date, '%m/%d/%Y') END AS t FROM documents)""")
+def date_parse(spark: SparkSession, d: str) -> DataFrame:
+    t = F.when(F.col("doc_id") % 7 == 0, "n/a").when(F.col("doc_id") % 11 == 0, "13/45/1890").otherwise(F.date_format("issue_date", "MM/dd/yyyy"))
+    return table(spark, d, "documents").select("doc_id", text.parse_date(t).alias("parsed"))
+
+
+_PHONES = "(SELECT phone_number FROM name1 UNION SELECT phone_number FROM name2 UNION SELECT phone_number FROM name3)"
+
+
+@query(f"SELECT phone_number FROM {_PHONES} WHERE phone_number IS NOT NULL")
+def phone_union_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.mask_map([table(spark, d, f"name{i}") for i in (1, 2, 3)], "phone_number", "salt").select("phone_number")
+
+
+@query(f"SELECT name_id, m.masked FROM name1 LEFT JOIN (SELECT phone_number, 1000000000 + (phone_number * 7919 + 13) % 8999999993 AS masked FROM {_PHONES} WHERE phone_number IS NOT NULL) m USING (phone_number)")
+def mask_join(spark: SparkSession, d: str) -> DataFrame:
+    every = pairs.mask_map([table(spark, d, f"name{i}") for i in (1, 2, 3)], "phone_number", "salt").select("phone_number", (1000000000 + (F.col("phone_number") * 7919 + 13) % 8999999993).alias("masked"))
+    return table(spark, d, "name1").join(every, "phone_number", "left").select("name_id", "masked")
+
+
+@query()
+def mask_hashed(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.mask_map([table(spark, d, f"name{i}") for i in (1, 2, 3)], "phone_number", "salt")
+
+
+_FULL_SQL = "regexp_replace(replace(coalesce(first_name{i}, '') || ' ' || coalesce(nullif(regexp_replace(middle_name{i}, '^\\s+|\\s+$', '', 'g'), ''), ' ') || ' ' || coalesce(last_name{i}, ''), '  ', ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT pair_id, {_FULL_SQL.format(i=1)} AS full_name1, {_FULL_SQL.format(i=2)} AS full_name2 FROM {_pairs_sql()}")
+def full_name(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("pair_id", *[text.full_name(f"first_name{i}", f"middle_name{i}", f"last_name{i}").alias(f"full_name{i}") for i in (1, 2)])
+
+
+_CLEAN_SQL = "regexp_replace(regexp_replace({0}, '[&_.-]', ' ', 'g'), ' {{2,}}', ' ', 'g')"
+
+
+@query(f"SELECT name_id, {_CLEAN_SQL.format('last_name')} AS cleaned, CASE WHEN last_name IS NULL THEN 0 ELSE length({_CLEAN_SQL.format('last_name')}) - length(replace({_CLEAN_SQL.format('last_name')}, ' ', '')) + 1 END AS n_pieces FROM name1")
+def piece_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "name1").select("name_id", text.clean_pieces("last_name").alias("cleaned")).withColumn("n_pieces", text.count_pieces("cleaned"))
+
+
+@query("SELECT name_id, CASE WHEN middle_name IS NULL THEN 0 ELSE length(middle_name) - length(replace(middle_name, ' ', '')) + 1 END AS n_tokens FROM name2")
+def token_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "name2").select("name_id", text.count_pieces("middle_name").alias("n_tokens"))
+
+
+# --- similarities, over all pairs ---
+
+_AB = f"(SELECT pair_id, last_name1 AS a, last_name2 AS b FROM {_pairs_sql()})"
+_L = "nullif(greatest(length(a), length(b)), 0)::DOUBLE"
+_DISTINCT_AB = f"(SELECT DISTINCT a, b FROM {_AB} WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+def _dp_sql(cell: str, source: str = _DISTINCT_AB, final: str = "pr[length(b) + 1]") -> str:
+    """A recursive dynamic program over the letters of a: rows pp (two back) and pr (one back) of the matrix; cell is the value at letter x of b."""
+    return f"""WITH RECURSIVE dp AS (
+        SELECT a, b, 0 AS i, NULL::BIGINT[] AS pp, range(0, length(b) + 1) AS pr FROM {source}
+        UNION ALL
+        SELECT a, b, i + 1, pr, list_reduce(list_transform(range(0, length(b) + 1), lambda x: [x]), lambda acc, y: list_append(acc, {cell}), CAST([] AS BIGINT[]))
+        FROM dp WHERE i < length(a))
+        SELECT a, b, {final} AS d FROM dp WHERE i = length(a)"""
+
+
+_COST = "CASE WHEN substr(a, i + 1, 1) = substr(b, y[1]::BIGINT, 1) THEN 0 ELSE 1 END"
+_SWAP = "CASE WHEN i >= 1 AND y[1] >= 2 AND substr(a, i + 1, 1) = substr(b, (y[1] - 1)::BIGINT, 1) AND substr(a, i, 1) = substr(b, y[1]::BIGINT, 1) THEN pp[(y[1] - 1)::BIGINT] + 1 ELSE 1000000 END"
+_OSA_CELL = f"CASE WHEN y[1] = 0 THEN (i + 1)::BIGINT ELSE least(acc[len(acc)] + 1, pr[(y[1] + 1)::BIGINT] + 1, pr[y[1]::BIGINT] + {_COST}, {_SWAP}) END"
+_LCS_CELL = f"CASE WHEN y[1] = 0 THEN (i + 1)::BIGINT ELSE least(acc[len(acc)] + 1, pr[(y[1] + 1)::BIGINT] + 1, pr[y[1]::BIGINT] + 2 * {_COST}) END"
+
+
+def _similarity(method: str, sql: str | None) -> None:
+    name = {"jw_floor": "dist_jaro", "soundex": "dist_soundex_cat"}.get(method, f"dist_{method}")
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _pairs(spark, d).select("pair_id", D.distance(method, "last_name1", "last_name2").alias("value"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_similarity("lv", f"SELECT pair_id, 1 - levenshtein(a, b) / {_L} AS value FROM {_AB}")
+_similarity("osa", f"SELECT pair_id, 1 - d / {_L} AS value FROM {_AB} LEFT JOIN ({_dp_sql(_OSA_CELL)}) USING (a, b)")
+_similarity("dl", f"SELECT pair_id, 1 - damerau_levenshtein(a, b) / {_L} AS value FROM {_AB}")
+_similarity("lcs", f"SELECT pair_id, 1 - d / {_L} AS value FROM {_AB} LEFT JOIN ({_dp_sql(_LCS_CELL)}) USING (a, b)")
+_COUNTS = f"(SELECT a, b, c, sum(s) AS ca, sum(t) AS cb FROM (SELECT a, b, unnest(string_split(a, '')) AS c, 1 AS s, 0 AS t FROM {_DISTINCT_AB} UNION ALL SELECT a, b, unnest(string_split(b, '')) AS c, 0, 1 FROM {_DISTINCT_AB}) WHERE c <> '' GROUP BY 1, 2, 3)"
+_similarity("qgram", f"SELECT pair_id, 1 - d / {_L} AS value FROM {_AB} LEFT JOIN (SELECT a, b, sum(abs(ca - cb)) AS d FROM {_COUNTS} GROUP BY 1, 2) USING (a, b)")
+_similarity("cosine", f"SELECT pair_id, CASE WHEN {_L} IS NOT NULL THEN coalesce(v, 0) END AS value FROM {_AB} LEFT JOIN (SELECT a, b, sum(ca * cb) / nullif(sqrt(sum(ca * ca) * sum(cb * cb)), 0) AS v FROM {_COUNTS} GROUP BY 1, 2) USING (a, b)")
+_similarity("jaccard", f"SELECT pair_id, CASE WHEN length(a) > 0 AND length(b) > 0 THEN jaccard(a, b) WHEN length(a) + length(b) > 0 THEN 0 END AS value FROM {_AB}")
+_similarity("jw_floor", f"SELECT pair_id, jaro_similarity(a, b) AS value FROM {_AB}")
+_similarity("hamming", f"SELECT pair_id, CASE WHEN length(a) = length(b) THEN CASE WHEN length(a) = 0 THEN 0 ELSE hamming(a, b) END END AS value FROM {_AB}")
+
+
+def _soundex_sql(c: str) -> str:
+    """The code of a text that begins with a letter: H and W are transparent, vowels and other signs separate."""
+    code = f"translate(regexp_replace(upper({c}), '[^A-Z]', '0', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUY', '111122222222334556000000')"
+    rest = f"(substr({code}, 1, 1) || replace(replace(substr({code}, 2), 'H', ''), 'W', ''))"
+    for k in "0123456":
+        for _ in range(4):
+            rest = f"replace({rest}, '{k}{k}', '{k}')"
+    return f"CASE WHEN regexp_matches({c}, '^[a-zA-Z]') THEN upper(substr({c}, 1, 1)) || substr(rpad(replace(substr({rest}, 2), '0', ''), 3, '0'), 1, 3) END"
+
+
+_EQUAL = " + ".join(f"CASE WHEN substr(x, {i}, 1) = substr(y, {i}, 1) THEN 1 ELSE 0 END" for i in range(1, 5))
+_similarity("soundex", f"""WITH codes AS MATERIALIZED (SELECT t, {_soundex_sql('t')} AS code FROM (SELECT DISTINCT a AS t FROM {_AB} UNION SELECT DISTINCT b FROM {_AB}))
+    SELECT pair_id, CASE WHEN x IS NULL OR y IS NULL THEN NULL ELSE ['No Match', 'Weak Match', 'Weak Similar Match', 'Similar Match', 'Strong Match'][1 + {_EQUAL}] END AS value
+    FROM (SELECT pair_id, p.code AS x, q.code AS y FROM {_AB} LEFT JOIN codes p ON p.t = a LEFT JOIN codes q ON q.t = b)""")
+
+
+@query()
+def dist_matrix_54(spark: SparkSession, d: str) -> DataFrame:
+    out = _pairs(spark, d, "ml_data_rvw").withColumns({f"full_name{i}": text.full_name(f"first_name{i}", f"middle_name{i}", f"last_name{i}") for i in (1, 2)})
+    for a, b, _ in features.COLUMN_PAIRS:
+        out = features.name_stringdist(out, a, b)
+    return out.select("review_id", *[c for c in out.columns if c.endswith(("_pct", "_soundex_cat"))])
+
+
+@query(f"""SELECT pair_id, least(length(a), length(b)) < 3 AND substr(a, 1, least(length(a), length(b))) = substr(b, 1, least(length(a), length(b))) AS initial, length(a) > 3 AND length(b) > 3 AND (contains(a, b) OR contains(b, a)) AS detect, substr(a, 1, 1) = substr(b, 1, 1) AS first_char
+    FROM {_AB} WHERE a IS NOT NULL AND b IS NOT NULL""")
+def token_predicates(spark: SparkSession, d: str) -> DataFrame:
+    t = _pairs(spark, d).select("pair_id", F.col("last_name1").alias("a"), F.col("last_name2").alias("b")).dropna()
+    return t.select("pair_id", D.initial_match("a", "b").alias("initial"), D.detect_long("a", "b").alias("detect"), D.first_char_match("a", "b").alias("first_char"))
+
+
+# --- name pieces ---
+
+_PIECE_SOURCE = f"(SELECT review_id AS id, {_CLEAN_SQL.format('a')} AS a, {_CLEAN_SQL.format('b')} AS b FROM (SELECT review_id, first_name1 || ' ' || last_name1 AS a, first_name2 || ' ' || last_name2 AS b FROM {_pairs_sql('ml_data_rvw')}))"
+
+
+def _piece_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = _pairs(spark, d, "ml_data_rvw")
+    return t.select("review_id", F.concat("first_name1", F.lit(" "), "last_name1").alias("a"), F.concat("first_name2", F.lit(" "), "last_name2").alias("b"))
+
+
+_TOKENS = f"""(SELECT id, side, pos, val FROM (SELECT id, 1 AS side, unnest(string_split(a, ' ')) AS val, generate_subscripts(string_split(a, ' '), 1) AS pos FROM {_PIECE_SOURCE}
+    UNION ALL SELECT id, 2, unnest(string_split(b, ' ')), generate_subscripts(string_split(b, ' '), 1) FROM {_PIECE_SOURCE}) WHERE val <> '')"""
+
+
+@query(f"SELECT id AS review_id, side, pos, val FROM {_TOKENS}")
+def piece_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = _piece_rows(spark, d)
+    sides = [t.select("review_id", F.lit(i).alias("side"), F.posexplode(F.split(text.clean_pieces(c), " ")).alias("p", "val")) for i, c in ((1, "a"), (2, "b"))]
+    return sides[0].unionByName(sides[1]).where("val <> ''").select("review_id", "side", (F.col("p") + 1).cast("long").alias("pos"), "val")
+
+
+_PIECES_SQL = f"""
+    WITH t AS MATERIALIZED (SELECT * FROM {_TOKENS}), o AS MATERIALIZED (SELECT x.id, x.pos AS p1, x.val AS v1, y.pos AS p2, y.val AS v2 FROM t x JOIN t y ON x.id = y.id AND x.side = 1 AND y.side = 2),
+    dist AS MATERIALIZED ({_dp_sql(_OSA_CELL, "(SELECT DISTINCT v1 AS a, v2 AS b FROM o)")}),
+    m AS (SELECT o.*, d / greatest(length(v1), length(v2))::DOUBLE AS sd FROM o JOIN dist ON a = v1 AND b = v2),
+    g1 AS (SELECT * FROM m QUALIFY sd = min(sd) OVER (PARTITION BY id, v1)), g2 AS (SELECT * FROM g1 QUALIFY sd = min(sd) OVER (PARTITION BY id, v2)),
+    g3 AS (SELECT * FROM g2 QUALIFY row_number() OVER (PARTITION BY id, v1 ORDER BY p1, p2) = 1), g4 AS (SELECT * FROM g3 QUALIFY row_number() OVER (PARTITION BY id, v2 ORDER BY p1, p2) = 1),
+    s AS (SELECT id, sum(CASE WHEN least(length(v1), length(v2)) < 3 AND substr(v1, 1, least(length(v1), length(v2))) = substr(v2, 1, least(length(v1), length(v2))) THEN 1 ELSE 0 END) AS f, 1 - avg(sd) AS sd, sum(CASE WHEN length(v1) > 3 AND length(v2) > 3 AND (contains(v1, v2) OR contains(v2, v1)) THEN 1 ELSE 0 END) AS de, sum(CASE WHEN v1 = v2 THEN 1 ELSE 0 END) AS ex FROM g4 GROUP BY id),
+    n AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE length(a) - length(replace(a, ' ', '')) + 1 END AS n1, CASE WHEN b IS NULL THEN 0 ELSE length(b) - length(replace(b, ' ', '')) + 1 END AS n2 FROM {_PIECE_SOURCE})
+    SELECT n.id AS review_id, n1 AS fn_name_count1, n2 AS fn_name_count2, CASE WHEN n1 > 1 OR n2 > 1 THEN f END AS fn_f_initial_match, CASE WHEN n1 > 1 OR n2 > 1 THEN sd END AS fn_strdist, CASE WHEN n1 > 1 OR n2 > 1 THEN de END AS fn_detect, CASE WHEN n1 > 1 OR n2 > 1 THEN ex END AS fn_exact_match
+    FROM n LEFT JOIN s USING (id)"""
+
+
+@query(_PIECES_SQL)
+def piece_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.name_pieces(_piece_rows(spark, d), "a", "b", "fn").drop("a", "b")
+
+
+@query()
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    t = _pairs(spark, d, "ml_data_rvw")
+    return features.feature_table(t.select("review_id", "category", *_SIX))
+
+
+# --- sampling, balancing, splits; draws by arithmetic, so that both engines agree ---
+
+
+def _draw(key: str):
+    return ((F.col(key) * 7919) % 10007) / F.lit(10007.0)
+
+
+def _tiers(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.tier_sample(pairs.edit_scores(_pairs(spark, d)), key="pair_id", draw=_draw("pair_id"))
+
+
+_TIER_SQL = f"""(SELECT *, CASE WHEN coalesce(str_dist_all <> 1, true) AND ord <= floor(tot * 0.04 + 1e-9) THEN 1 ELSE 0 END AS kept FROM (
+    SELECT * EXCLUDE (keep), count(*) OVER (PARTITION BY str_dist_all) AS tot, row_number() OVER (PARTITION BY str_dist_all ORDER BY ((pair_id * 7919) % 10007) / 10007.0, pair_id) AS ord FROM {_SCORED}))"""
+_BOX = "(str_dist_all BETWEEN 0.3 AND 0.6 AND str_dist2 BETWEEN 0.8 AND 0.95 AND str_dist1 BETWEEN 0.4 AND 0.6) OR (str_dist_all BETWEEN 0.7 AND 0.85 AND str_dist2 BETWEEN 0.7 AND 0.95 AND str_dist1 BETWEEN 0.6 AND 0.85) OR (str_dist_all BETWEEN 0.6 AND 0.7 AND str_dist2 BETWEEN 0.7 AND 0.85 AND str_dist1 BETWEEN 0.5 AND 0.75)"
+
+
+@query(f"SELECT pair_id, str_dist_all, tot, ord, kept AS keep FROM {_TIER_SQL}")
+def tier_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _tiers(spark, d).select("pair_id", "str_dist_all", "tot", "ord", "keep")
+
+
+@query(f"SELECT pair_id, CASE WHEN kept = 0 AND ({_BOX}) THEN 1 ELSE kept END AS keep FROM {_TIER_SQL}")
+def edge_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.add_edge_cases(_tiers(spark, d)).select("pair_id", "keep")
+
+
+@query(f"SELECT CASE WHEN kept = 0 AND ({_BOX}) THEN 1 ELSE kept END AS keep, count(*) AS n_pairs FROM {_TIER_SQL} GROUP BY 1")
+def review_split(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.add_edge_cases(_tiers(spark, d)).groupBy("keep").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+@query("""WITH r AS (SELECT * FROM ml_data_rvw WHERE category IN ('Match', 'No Match')), k AS (SELECT greatest(1, ceil(0.9 * sum(CASE WHEN category = 'No Match' THEN 1 ELSE 0 END) / sum(CASE WHEN category = 'Match' THEN 1 ELSE 0 END)))::BIGINT AS k FROM r)
+    SELECT review_id, category FROM r, k, range(1, CASE WHEN category = 'Match' THEN k ELSE 1 END + 1) AS g(n)""")
+def balance_replicate(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "ml_data_rvw").where(F.col("category").isin("Match", "No Match"))
+    return sampling.balance(rows, "category", "Match", "No Match").select("review_id", "category")
+
+
+_TRAIN_SQL = "(SELECT review_id, row_number() OVER (ORDER BY ((review_id * 7919) % 10007) / 10007.0, review_id) AS rk, round_even(0.7 * count(*) OVER (), 0) AS n FROM ml_data_rvw WHERE category IS NOT NULL)"
+
+
+def _train_test(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return sampling.split_exact(table(spark, d, "ml_data_rvw").where("category is not null"), key="review_id", draw=_draw("review_id"))
+
+
+@query(f"SELECT review_id FROM {_TRAIN_SQL} WHERE rk <= n")
+def train_split(spark: SparkSession, d: str) -> DataFrame:
+    return _train_test(spark, d)[0].select("review_id")
+
+
+@query(f"SELECT review_id FROM ml_data_rvw WHERE category IS NOT NULL AND review_id NOT IN (SELECT review_id FROM {_TRAIN_SQL} WHERE rk <= n)")
+def test_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "ml_data_rvw").where("category is not null").join(_train_test(spark, d)[0].select("review_id"), "review_id", "left_anti").select("review_id")
+
+
+@query("SELECT review_id % 5 AS fold, count(*) AS n FROM ml_data_rvw GROUP BY 1")
+def fold_mod(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "ml_data_rvw").groupBy(sampling.fold("review_id").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(coalesce((l_quantity - avg(l_quantity) OVER ()) / nullif(stddev_samp(l_quantity) OVER (), 0), 0), 6) AS l_quantity_norm, round(coalesce((l_extendedprice - avg(l_extendedprice) OVER ()) / nullif(stddev_samp(l_extendedprice) OVER (), 0), 0), 6) AS l_extendedprice_norm FROM lineitem")
+def zscore(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem")
+    return prepare.add_zscores(t, prepare.moments(t, ["l_quantity", "l_extendedprice"])).select("l_orderkey", "l_linenumber", F.round("l_quantity_norm", 6).alias("l_quantity_norm"), F.round("l_extendedprice_norm", 6).alias("l_extendedprice_norm"))
+
+
+@query("SELECT name_id, coalesce(middle_name, '0') AS middle_name, coalesce(phone_number, 0) AS phone_number FROM name1")
+def na_fill(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.fill_missing(table(spark, d, "name1").select("name_id", "middle_name", "phone_number"))
+
+
+# --- evaluation over a fixed score: the edit similarity of both names ---
+
+_RVW_SQL = f"(SELECT *, 1 - (levenshtein(first_name1, first_name2) + levenshtein(last_name1, last_name2)) / nullif(greatest(length(first_name1), length(first_name2)) + greatest(length(last_name1), length(last_name2)), 0)::DOUBLE AS prob, 1 - levenshtein(first_name1, first_name2) / nullif(greatest(length(first_name1), length(first_name2)), 0)::DOUBLE AS f, 1 - levenshtein(last_name1, last_name2) / nullif(greatest(length(last_name1), length(last_name2)), 0)::DOUBLE AS l FROM {_pairs_sql('ml_data_rvw')} WHERE category IN ('Match', 'No Match'))"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    t = _pairs(spark, d, "ml_data_rvw").where(F.col("category").isin("Match", "No Match"))
+    n = lambda c: F.greatest(F.char_length(f"{c}1"), F.char_length(f"{c}2"))
+    both = F.levenshtein("first_name1", "first_name2") + F.levenshtein("last_name1", "last_name2")
+    return t.withColumns({"prob": 1 - F.try_divide(both.cast("double"), (n("first_name") + n("last_name")).cast("double")), "f": D.lv("first_name1", "first_name2"), "l": D.lv("last_name1", "last_name2")})
+
+
+@query(f"SELECT review_id, prob, CASE WHEN prob > 0.5 THEN 'Match' WHEN prob IS NOT NULL THEN 'No Match' END AS decision FROM {_RVW_SQL}")
+def score_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.decide(_scored(spark, d)).select("review_id", "prob", "decision")
+
+
+@query(f"""SELECT sum(neg) OVER w / sum(neg) OVER ()::DOUBLE AS fpr, sum(pos) OVER w / sum(pos) OVER ()::DOUBLE AS tpr, 'edit' AS tp FROM (
+    SELECT round(prob, 9) AS p, sum(CASE WHEN category = 'Match' THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN category = 'Match' THEN 0 ELSE 1 END) AS neg FROM {_RVW_SQL} WHERE prob IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)""")
+def roc_points(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.roc_points(_scored(spark, d), "prob", "category", name="edit")
+
+
+@query(f"""WITH t AS (SELECT category, CASE WHEN prob > 0.5 THEN 'Match' ELSE 'No Match' END AS decision FROM {_RVW_SQL} WHERE prob IS NOT NULL), u AS (SELECT category AS actual, * FROM t UNION ALL SELECT 'Totals', * FROM t)
+    SELECT 'edit' AS tp, actual, sum(CASE WHEN decision = 'Match' THEN 1 ELSE 0 END) AS "Match", sum(CASE WHEN decision = 'No Match' THEN 1 ELSE 0 END) AS "No Match", sum(CASE WHEN decision <> category THEN 1 ELSE 0 END) / count(*)::DOUBLE AS "Error", sum(CASE WHEN decision <> category THEN 1 ELSE 0 END) || '/' || count(*) AS "Rate" FROM u GROUP BY actual""")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.confusion(evaluate.decide(_scored(spark, d)), "category", "decision", "edit")
+
+
+@query(f"""SELECT 'rejected' AS list, review_id FROM {_RVW_SQL} WHERE prob < 0.5 AND f > 0.5 AND l > 0.5 UNION ALL SELECT 'accepted', review_id FROM {_RVW_SQL} WHERE prob > 0.95 AND f < 0.8 AND l < 0.8 UNION ALL SELECT 'renamed', review_id FROM {_RVW_SQL} WHERE prob > 0.95 AND f < 0.8 AND l >= 0.9""")
+def example_lists(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name, df in evaluate.example_lists(_scored(spark, d), "prob", "f", "l").items():
+        part = df.select(F.lit(name).alias("list"), "review_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- models ---
+
+
+def _trained(spark: SparkSession, d: str, kinds: tuple[str, ...], folds: int = 3) -> tuple[NameMatcher, DataFrame]:
+    train, test = sampling.split_exact(table(spark, d, "ml_data_rvw").where("category in ('Match', 'No Match')"), key="review_id")
+    return NameMatcher.train(train, key="review_id", kinds=kinds, folds=folds), test
+
+
+def _model_query(name: str, kinds: tuple[str, ...]) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        m, test = _trained(spark, d, kinds)
+        out = m.transform(test, model=kinds[0] if len(kinds) == 1 else "ENS")
+        return evaluate.confusion(out, "category", "decision", name)
+
+    run.__name__ = name
+    query()(run)
+
+
+for _n, _k in (("ml_lr", ("GLM",)), ("ml_rf", ("RF",)), ("ml_gbt", ("GBM",)), ("ml_mlp", ("NN",)), ("ml_stack", ("GLM", "RF", "GBM"))):
+    _model_query(_n, _k)
+
+
+@query()
+def name_match_e2e(spark: SparkSession, d: str) -> DataFrame:
+    """The matcher, trained on the reviewed pairs, over all candidate pairs."""
+    m, _ = _trained(spark, d, ("GLM", "RF"))
+    return m.transform(table(spark, d, "ml_data")).select("pair_id", "prob", "decision")
