@@ -198,36 +198,41 @@ def compare(one: Sequence[str], two: Sequence[str], w: Weights, mid1: Sequence[s
     if len(a) != len(b):
         a = _joined(a, b)
         b = _joined(b, a)
-    pairs = sorted(((s * min(w.weigh(x), w.weigh(y)), s, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := w.alike(x, y)) > 0), reverse=True)
-    left, right, score, strong = set(range(len(a))), set(range(len(b))), 0.0, False
-
-    def take(s: float, i: int, j: int) -> None:
-        nonlocal score, strong
-        left.discard(i)
-        right.discard(j)
-        score += s * (w.weigh(a[i]) + w.weigh(b[j])) / 2
-        strong = strong or (len(a[i]) > 2 and len(b[j]) > 2)
-
-    for _, s, i, j in pairs:
-        if i in left and j in right:
-            take(s, i, j)
+    left, right, score, strong = [], list(b), 0.0, False
+    for x in a:  # equal tokens first
+        if x in right:
+            right.remove(x)
+            score += w.weigh(x)
+            strong = strong or len(x) > 2
+        else:
+            left.append(x)
+    if left and right:
+        pairs = sorted([(s * min(w.weigh(x), w.weigh(y)), s, x, y) for x in left for y in right if (s := w.alike(x, y)) > 0], reverse=True)
+        for _, s, x, y in pairs:
+            if x in left and y in right:
+                left.remove(x)
+                right.remove(y)
+                score += s * (w.weigh(x) + w.weigh(y)) / 2
+                strong = strong or (len(x) > 2 and len(y) > 2)
     if not strong:
         return 0.0
-    for i in sorted(left):
-        for j in sorted(right):
-            if i in left and (s := w.indirect(a[i], b[j])):
-                take(s, i, j)
+    for x in list(left):
+        for y in list(right):
+            if x in left and (s := w.indirect(x, y)):
+                left.remove(x)
+                right.remove(y)
+                score += s * (w.weigh(x) + w.weigh(y)) / 2
     m1, m2, both = list(mid1), list(mid2), bool(left and right)
-    for rest, names, mids in ((left, a, m2), (right, b, m1)):
-        for i in sorted(rest):
+    for rest, mids in ((left, m2), (right, m1)):
+        for x in list(rest):
             for m in mids:
-                if w.alike(names[i], m) > 0:
-                    rest.discard(i)
+                if w.alike(x, m) > 0:
+                    rest.remove(x)
                     mids.remove(m)
                     break
     if (both and (left or right)) or (left and m2) or (right and m1):
         return 0.0
     if m1 and m2 and not any(w.alike(x, y) or w.indirect(x, y) for x in m1 for y in m2):
         return 0.0
-    unmatched = sum(w.weigh(a[i]) for i in left) + sum(w.weigh(b[j]) for j in right)
+    unmatched = sum(map(w.weigh, left)) + sum(map(w.weigh, right))
     return score / (score + unmatched / 2)

@@ -49,22 +49,31 @@ def grams(words: Sequence[str], q: int = 2) -> set[str]:
 
 
 class Name:
-    """A name's tokens, the set of their q-grams, and that set's prefix: the rarest members, of which similar sets share one."""
+    """A name's tokens and, made when they're first needed, the set of their q-grams and that set's prefix: the rarest members, of which
+    similar sets share one."""
 
-    __slots__ = ("words", "grams", "prefix")
+    __slots__ = ("words", "frequency", "least", "grams", "prefix")
 
     def __init__(self, words: Sequence[str], frequency: Mapping[str, float], least: float):
-        self.words, self.grams = words, grams(words)
-        get = frequency.get
-        order = sorted([(get(x, 0.0), x) for x in self.grams])
-        self.prefix = {x for _, x in order[: len(order) - ceil(least * len(order)) + 1]}
+        self.words, self.frequency, self.least, self.grams = words, frequency, least, None
 
-    def near(self, other: Name, least: float) -> bool:
-        """Whether the Jaccard similarity of the q-grams is at least that."""
+    def fill(self) -> None:
+        self.grams, get = grams(self.words), self.frequency.get
+        order = sorted([(get(x, 0.0), x) for x in self.grams])
+        self.prefix = {x for _, x in order[: len(order) - ceil(self.least * len(order)) + 1]}
+
+    def near(self, other: Name) -> bool:
+        """Whether the Jaccard similarity of the q-grams is at least `least`, or a whole word of four or more letters is shared."""
+        if any([len(w) > 3 for w in self.words if w in other.words]):
+            return True
+        if self.grams is None:
+            self.fill()
+        if other.grams is None:
+            other.fill()
         if self.prefix.isdisjoint(other.prefix):
             return False
         both = len(self.grams & other.grams)
-        return both >= least * (len(self.grams) + len(other.grams) - both)
+        return both >= self.least * (len(self.grams) + len(other.grams) - both)
 
 
 def gram_frequencies(heavy: Mapping[str, float]) -> dict[str, float]:
@@ -104,7 +113,7 @@ def link_variants(
             keys, found = x.column("k"), []
             for i, (f1, l1, m1, f2, l2, m2) in enumerate(zip(*[x.column(c).to_pylist() for c in ("f1", "l1", "m1", "f2", "l2", "m2")])):
                 a, b = name(f1, l1), name(f2, l2)
-                if a.near(b, least_grams) and (s := compare(a.words, b.words, weights, tokens(m1), tokens(m2))) >= least_similarity:
+                if a.near(b) and (s := compare(a.words, b.words, weights, tokens(m1), tokens(m2))) >= least_similarity:
                     found.append((i, s))
             yield pa.record_batch([keys.take(pa.array([i for i, _ in found], pa.int64())), pa.array([s for _, s in found], pa.float64())], names=[key, "similarity"])
 
