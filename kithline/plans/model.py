@@ -116,6 +116,8 @@ class NameMatcher:
         stats = prepare.moments(features, [c for c in cols if c in numeric])
         data, names = prepare_rows(features, cols, stats)
         data = data.select("_row", F.when(F.col("category") == "Match", 1.0).otherwise(0.0).alias(LABEL), fold(F.xxhash64("_row"), folds).alias(FOLD), "features").persist()
+        # few rows are trained in few tasks: each iteration of a fit is a job
+        data = data.coalesce(max(1, data.count() // 20_000))
         models, held = {}, data.select("_row", LABEL)
         for kind in kinds:
             params, _, out = search(data, kind, len(names), folds=folds, most=most, budget_s=budget_s, seed=seed)
