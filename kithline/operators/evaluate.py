@@ -19,9 +19,9 @@ def roc_points(df: DataFrame, prob: str, label: str, positive: str = "Match", na
     """
     by = df.where(F.col(prob).isNotNull() & F.col(label).isNotNull()).groupBy(F.round(prob, 9).alias("p")).agg(F.sum((F.col(label) == positive).cast("long")).alias("pos"), F.sum((F.col(label) != positive).cast("long")).alias("neg"))
     down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    total = by.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     run = by.select(F.sum("pos").over(down).alias("tp_"), F.sum("neg").over(down).alias("fp_")).join(F.broadcast(total), F.lit(True))
-    out = run.select(F.try_divide(F.col("fp_").cast("double"), F.col("N")).alias("fpr"), F.try_divide(F.col("tp_").cast("double"), F.col("P")).alias("tpr"))
+    out = run.select(F.try_divide(F.col("fp_").cast("double"), F.col("all_neg")).alias("fpr"), F.try_divide(F.col("tp_").cast("double"), F.col("all_pos")).alias("tpr"))
     if origin:
         out = out.unionByName(df.sparkSession.createDataFrame([(0.0, 0.0)], "fpr double, tpr double"))
     return out.withColumn("tp", F.lit(name)) if name else out
@@ -31,8 +31,8 @@ def best_f1_threshold(df: DataFrame, prob: str, label: str, positive: str = "Mat
     """The probability at or above which a decision for the positive class has the highest F1; the largest of equal ones."""
     by = df.groupBy(F.round(prob, 9).alias("p")).agg(F.sum((F.col(label) == positive).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("pos").alias("P"))
-    f1 = by.select("p", F.sum("pos").over(down).alias("t"), F.sum("n").over(down).alias("k")).join(F.broadcast(total), F.lit(True)).select("p", F.try_divide(2 * F.col("t").cast("double"), F.col("k") + F.col("P")).alias("f1"))
+    total = by.agg(F.sum("pos").alias("all_pos"))
+    f1 = by.select("p", F.sum("pos").over(down).alias("t"), F.sum("n").over(down).alias("k")).join(F.broadcast(total), F.lit(True)).select("p", F.try_divide(2 * F.col("t").cast("double"), F.col("k") + F.col("all_pos")).alias("f1"))
     row = f1.orderBy(F.desc("f1"), F.desc("p")).first()
     return row.p if row else 0.5
 

@@ -84,11 +84,9 @@ def distinct_per_key(df: DataFrame, key: str, sets: dict[str, Sequence[str]]) ->
     what is left with a partial aggregate.  The plain form, countDistinct of several sets, would expand every
     row once per set as well, but carry the values of a hot key to one task.
     """
-    kinds = []
-    for n, cols in sets.items():
-        kinds.append(F.struct(F.lit(n).alias("k"), F.xxhash64(*cols).alias("h1"), F.md5(F.to_json(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]))).alias("h2")))
-    rows = df.select(key, F.explode(F.array(*kinds)).alias("x")).select(key, "x.*").distinct()
-    return rows.groupBy(key).agg(*[F.count(F.when(F.col("k") == n, 1)).alias(n) for n in sets])
+    kinds = [F.struct(F.lit(n).alias("_set"), F.xxhash64(*cols).alias("_h1"), F.md5(F.to_json(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]))).alias("_h2")) for n, cols in sets.items()]
+    rows = df.select(key, F.inline(F.array(*kinds))).distinct()
+    return rows.groupBy(key).agg(*[F.count(F.when(F.col("_set") == n, 1)).alias(n) for n in sets])
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
@@ -96,6 +94,7 @@ def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
 
     Null keys count among all rows but are never returned.  An empty table has no hot keys.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("_total"))
-    return counts.where(F.col(key).isNotNull()).join(F.broadcast(total), F.col("n_rows") >= F.col("_total") * share).select(key, "n_rows", (F.col("n_rows") / F.col("_total")).alias("share"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    hot = counts.where(F.col(key).isNotNull()).join(F.broadcast(total), F.col("_n") >= F.col("_total") * share)
+    return hot.select(key, F.col("_n").alias("n_rows"), (F.col("_n") / F.col("_total")).alias("share"))
