@@ -198,7 +198,7 @@ def compare(one: Sequence[str], two: Sequence[str], w: Weights, mid1: Sequence[s
     if len(a) != len(b):
         a = _joined(a, b)
         b = _joined(b, a)
-    left, right, score, strong = [], list(b), 0.0, False
+    left, right, score, strong, lone = [], list(b), 0.0, False, [False, False]
     for x in a:  # equal tokens first
         if x in right:
             right.remove(x)
@@ -214,6 +214,7 @@ def compare(one: Sequence[str], two: Sequence[str], w: Weights, mid1: Sequence[s
                 right.remove(y)
                 score += s * (w.weigh(x) + w.weigh(y)) / 2
                 strong = strong or (len(x) > 2 and len(y) > 2)
+                lone = [lone[0] or len(x) == 1, lone[1] or len(y) == 1]
     if not strong:
         return 0.0
     for x in list(left):
@@ -230,6 +231,9 @@ def compare(one: Sequence[str], two: Sequence[str], w: Weights, mid1: Sequence[s
                     rest.remove(x)
                     mids.remove(m)
                     break
+    # an initial that stands for the other's name while a name of its own side is left over is a middle initial
+    if (lone[0] and any(len(x) > 1 for x in left)) or (lone[1] and any(len(y) > 1 for y in right)):
+        return 0.0
     if (both and (left or right)) or (left and m2) or (right and m1):
         return 0.0
     if m1 and m2 and not any(w.alike(x, y) or w.indirect(x, y) for x in m1 for y in m2):

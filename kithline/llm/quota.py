@@ -74,6 +74,7 @@ def controlled_rounding(cells: dict[tuple, float]) -> dict[tuple, int]:
 
     Such a table always exists; a margin that is an integer is kept exactly.  Keys are (row, column).
     """
+    cells = dict(sorted(cells.items(), key=repr))  # of several roundings always the same
     near = lambda x: round(x) if abs(x - round(x)) < 1e-7 else x
     rows, cols = sorted({r for r, _ in cells}, key=repr), sorted({c for _, c in cells}, key=repr)
     node = {("r", r): 2 + i for i, r in enumerate(rows)} | {("c", c): 2 + len(rows) + i for i, c in enumerate(cols)}
@@ -147,22 +148,23 @@ def sample_to_targets(
     wanted = {r[category]: (float(r.target_share), int(r.min_rows)) for r in targets.collect()} if len(names) <= max_cells else {}
     if len(wanted) < len(names):
         raise ValueError("targets need one row per category")
-    cellof = rows.withColumn("_stratum", (stratum if stratum is not None else F.lit("all")).cast("string"))
-    counts = cellof.where(F.col(category).isNotNull()).groupBy(category, "_stratum").agg(F.count(F.lit(1)).alias("n")).limit(max_cells + 1).collect()
+    # a row travels as one value, so its columns can't clash with those made here
+    cellof = rows.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("_row"), F.col(key).alias("_key"), F.col(category).cast("string").alias("_category"), (stratum if stratum is not None else F.lit("all")).cast("string").alias("_stratum"))
+    counts = cellof.where("_category is not null").groupBy("_category", "_stratum").agg(F.count(F.lit(1)).alias("n")).limit(max_cells + 1).collect()
     if len(counts) > max_cells:
         raise ValueError("too many cells; choose a coarser stratum")
     labelled = sum(r.n for r in counts)
     n = size if size is not None else labelled // 3 if fraction == 1 / 3 else math.floor(labelled * fraction)
     have: dict[str, int] = {}
     for r in counts:
-        have[r[category]] = have.get(r[category], 0) + r.n
+        have[r._category] = have.get(r._category, 0) + r.n
     quota = category_quotas({c: have.get(c, 0) for c in wanted}, wanted, n)
-    table = {(r[category], r._stratum): quota[r[category]] * r.n / have[r[category]] for r in counts if quota.get(r[category])}
+    table = {(r._category, r._stratum): quota[r._category] * r.n / have[r._category] for r in counts if quota.get(r._category)}
     whole = controlled_rounding(table) if table else {}
     spark = rows.sparkSession
     cells = spark.createDataFrame([(c, s, q) for (c, s), q in whole.items() if q], "_c string, _s string, _quota long")
-    ranked = distributed_rank(cellof.where(F.col(category).isin([c for c, q in quota.items() if q])).withColumn("_u", unit_hash(key, seed)), [category, "_stratum"], "_u", key, "_rank")
-    sample = ranked.join(F.broadcast(cells), (F.col(category) == F.col("_c")) & F.col("_stratum").eqNullSafe(F.col("_s"))).where("_rank <= _quota").select(*[f"`{c}`" for c in rows.columns])
+    ranked = distributed_rank(cellof.where(F.col("_category").isin([c for c, q in quota.items() if q])).withColumn("_u", unit_hash("_key", seed)), ["_category", "_stratum"], "_u", "_key", "_rank")
+    sample = ranked.join(F.broadcast(cells), (F.col("_category") == F.col("_c")) & F.col("_stratum").eqNullSafe(F.col("_s"))).where("_rank <= _quota").select("_row.*")
     drawn = sum(quota.values())
     report = spark.createDataFrame(
         [(c, w, m, have.get(c, 0), w * n, quota[c], quota[c] / drawn if drawn else 0.0, have.get(c, 0) < m, have.get(c, 0) < w * n, have.get(c, 0) >= m and have.get(c, 0) >= w * n) for c, (w, m) in wanted.items()],

@@ -80,7 +80,7 @@ def split_components(
 
     The rows are aggregated once (with partial aggregation, so a hot component costs nothing) and read once more to be assigned through two
     broadcast tables of at most 1 / LARGE and BUNDLES entries; they are not shuffled for it.  Labels beyond the max_labels most frequent ones are
-    balanced together, as are null labels.  An empty table gives empty results; a component key that is an empty string is a component.
+    balanced together, as are null labels.  An empty table gives empty results; a component key that is an empty string is a component; a column `split` of the rows is replaced.
     """
     spark = rows.sparkSession
     wanted = [(r.split_name, float(r.target_share)) for r in targets.orderBy("split_name").limit(1001).collect()]
@@ -118,9 +118,11 @@ def split_components(
     else:
         best = []
     split = {u: wanted[best[i]][0] for u, i in at.items()}
-    chosen = spark.createDataFrame([(u, s) for u, s in split.items()], "_u int, split string")
-    out = rows.withColumn("_ck", text).withColumn("_bk", bundle).join(F.broadcast(units_of.withColumnRenamed("_c", "_ck")), "_ck", "left")
-    assigned = out.withColumn("_u", F.coalesce("_unit", "_bk")).join(F.broadcast(chosen), "_u").select(*[F.col(f"`{c}`") for c in rows.columns], "split")
+    chosen = spark.createDataFrame(list(split.items()), "_u int, split string")
+    kept = [f"`{c}`" for c in rows.columns if c.lower() != "split"]
+    boxed = rows.select(F.struct(*kept).alias("_row"), text.alias("_ck"), bundle.alias("_bk"))
+    out = boxed.join(F.broadcast(units_of.withColumnRenamed("_c", "_ck")), "_ck", "left")
+    assigned = out.withColumn("_u", F.coalesce("_unit", "_bk")).join(F.broadcast(chosen), "_u").select("_row.*", "split")
     by = assigned.groupBy(F.coalesce(F.col(label), F.lit("no label")).alias("label"), "split").agg(F.count(F.lit(1)).alias("n_rows"))
     by = by.unionByName(assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("label", F.lit("all rows")))
     of = by.groupBy("label").agg(F.sum("n_rows").alias("_n"))
