@@ -21,6 +21,7 @@ def tier_sample(pairs: DataFrame, *, key: str, tier: str = "str_dist_all", rate:
     Pairs of tier 1 are never kept; those without a tier are a tier of their own.  draw: a column in [0, 1) in place of the hash of the key.  Positions come from a
     distributed ranking, as a tier may hold a large part of all rows.
     """
+    pairs = pairs.drop("tot", "ord", "keep", "rand")
     drawn = pairs.withColumn("rand", draw if draw is not None else unit_hash(key, seed))
     ranked = distributed_rank(drawn, [tier], "rand", key, "ord")
     tot = pairs.groupBy(F.col(tier).alias("_t")).agg(F.count(F.lit(1)).alias("tot"))
