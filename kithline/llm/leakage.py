@@ -79,9 +79,10 @@ def same_word(printed: str, read: str) -> bool:
 
 
 class Item:
-    """The words of a test item, ready for verification."""
+    """The words of a test item, ready for verification, and those of its question."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, question: str | None = None):
+        self.question = {w.translate(FOLD) for w in letters(question or "").split() if len(w) >= 4}
         self.raw = letters(text).split()
         self.words = [w.translate(FOLD) for w in self.raw]
         self.at: dict[str, list[int]] = defaultdict(list)
@@ -145,8 +146,8 @@ class Index:
     chunk's threshold is `keep` times the least score that a run of that length in it can have.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], run: int, stride: int, keep: float, block: int, k1: float = 1.2, b: float = 0.75):
-        self.ids, self.items = ids, [Item(t) for t in texts]
+    def __init__(self, ids: list[int], texts: list[str], run: int, stride: int, keep: float, block: int, questions: list[str | None] | None = None, k1: float = 1.2, b: float = 0.75):
+        self.ids, self.items = ids, [Item(t, q) for t, q in zip(texts, questions or [None] * len(texts))]
         chunks = [(i, x.words[s : s + run + stride]) for i, x in enumerate(self.items) for s in range(0, max(1, len(x.words) - run + 1), stride) if len(x.words) >= run]
         bags = [Counter([*w, *zip(w, w[1:])]) for _, w in chunks]
         df = Counter(t for bag in bags for t in bag)
@@ -206,8 +207,8 @@ class Index:
         return set(self.owner[pivots][scores >= self.need[pivots]].tolist())
 
 
-def leaked(index: Index, text: str, run: int, window: int, reach: int, share: float) -> list[tuple[int, int]]:
-    """(number of the item, words of its longest run) of each item of which the text has a run."""
+def leaked(index: Index, text: str, run: int, window: int, reach: int, share: float) -> list[tuple[int, int, float | None]]:
+    """(number of the item, words of its longest run, share of its question's words) of each item of which the text has a run."""
     folded = segments(text.lower().translate(FOLD))
     n = sum(map(len, folded))
     if n < run:
@@ -239,14 +240,17 @@ def leaked(index: Index, text: str, run: int, window: int, reach: int, share: fl
             if index.items[i].best_share(known[lo, hi], run) >= share:
                 raw = raw or segments(letters(text))
                 best[i] = max(best.get(i, 0), index.items[i].longest_run(raw[lo:hi], near, reach))
-    return [(i, k) for i, k in sorted(best.items()) if k >= run]
+    found = [(i, k) for i, k in sorted(best.items()) if k >= run]
+    every = {w for x in folded for w in x} if any(index.items[i].question for i, _ in found) else set()
+    return [(i, k, len(q & every) / len(q) if (q := index.items[i].question) else None) for i, k in found]
 
 
 def find_leaks(
     documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.8, share: float = 0.9, block: int = 8, window: int = 120, reach: int = 60, shard_chars: int = 2_000_000,
-    doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", question: str = "question",
 ) -> DataFrame:
-    """item_id, doc_id, n_words: each page that has `run` or more consecutive words of an item, and the longest run.
+    """item_id, doc_id, n_words, question_share: each page that has `run` or more consecutive words of an item, the longest run, and the share
+    of the words of four or more letters of the item's question that the page has, too (null without a question).
 
     The documents are read in place and never shuffled: the index goes to them.  Its size follows the items, so the
     items are split by a hash of their id into shards of about `shard_chars` characters, and each shard is one pass
@@ -258,35 +262,29 @@ def find_leaks(
     item id that occurs twice with different texts gives one row with the longest run.
     """
     spark = documents.sparkSession
-    held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    asked = F.col(question) if question in items.columns else F.lit(None)
+    held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"), asked.cast("string").alias("q")).where("i is not null and t is not null")
     total = held.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(1, -(-total // shard_chars))
     pages = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    schema = f"item_id {items.schema[item_id].dataType.simpleString()}, doc_id {documents.schema[doc_id].dataType.simpleString()}, n_words int"
+    schema = f"item_id {items.schema[item_id].dataType.simpleString()}, doc_id {documents.schema[doc_id].dataType.simpleString()}, n_words int, question_share double"
     out = None
     for s in range(shards):
         part = held.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s).orderBy("i").collect()
-        index = spark.sparkContext.broadcast(Index([r[0] for r in part], [r[1] for r in part], run, stride, keep, block))
+        index = spark.sparkContext.broadcast(Index([r[0] for r in part], [r[1] for r in part], run, stride, keep, block, [r[2] for r in part]))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             x = index.value
             for b in batches:
-                hits = [(x.ids[i], d, k) for d, t in zip(b["doc_id"], b["t"]) for i, k in leaked(x, t, run, window, reach, share)]
-                yield pd.DataFrame(hits, columns=["item_id", "doc_id", "n_words"])
+                hits = [(x.ids[i], d, k, q) for d, t in zip(b["doc_id"], b["t"]) for i, k, q in leaked(x, t, run, window, reach, share)]
+                yield pd.DataFrame(hits, columns=["item_id", "doc_id", "n_words", "question_share"])
 
         found = pages.mapInPandas(search, schema)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("item_id", "doc_id").agg(F.max("n_words").alias("n_words"))
+    return out.groupBy("item_id", "doc_id").agg(F.max("n_words").alias("n_words"), F.max("question_share").alias("question_share"))
 
 
-def leak_report(leaks: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per affected page: doc_id, the items in it, and for how many of them the question stands there, too.
-
-    A question counts as present if at least half of its distinct words of four or more letters are on the page.  Items
-    without question count as not present.
-    """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.length(w) >= 4))
-    asked = items.select("item_id", words(F.col("question")).alias("q"))
-    pages = leaks.join(documents.select("doc_id", words(F.col("text")).alias("w")), "doc_id").join(asked, "item_id", "left")
-    shared = F.coalesce(F.size(F.array_intersect("q", "w")) * 2 >= F.greatest(F.size("q"), F.lit(1)), F.lit(False))
-    return pages.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("n_words").alias("longest_run"), F.sum(F.when(shared, 1).otherwise(0)).alias("questions_present"))
+def leak_report(leaks: DataFrame) -> DataFrame:
+    """One row per affected page: doc_id, items (in order), longest_run, and for how many of them half of the question stands there, too."""
+    asked = F.when(F.col("question_share") >= 0.5, 1).otherwise(0)
+    return leaks.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("n_words").alias("longest_run"), F.sum(asked).alias("questions_present"))

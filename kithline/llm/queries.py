@@ -21,6 +21,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.link_variants(_t(spark, d, "ml_data"), key="pair_id", left=side(1), right=side(2)).select("pair_id")
 
 
+def p1_variants(spark: SparkSession, d: str) -> DataFrame:
+    """All rows whose sides mean the same, also those that differ only in case, blanks and punctuation, with their similarity."""
+    side = lambda i: (f"first_name{i}", f"last_name{i}", f"middle_name{i}")
+    return variants.link_variants(_t(spark, d, "ml_data"), key="pair_id", left=side(1), right=side(2), variants_only=False)
+
+
 def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return quota.sample_to_targets(_t(spark, d, "ml_data_rvw"), _t(spark, d, "category_targets"), key="review_id", stratum=F.date_trunc("quarter", "reviewed_at"))
 
@@ -73,9 +79,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("item_id", "doc_id")
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
 def p7_pages(spark: SparkSession, d: str) -> DataFrame:
-    docs, items = _t(spark, d, "documents"), _t(spark, d, "eval_items")
-    return leakage.leak_report(leakage.find_leaks(docs, items), docs, items)
+    return leakage.leak_report(leakage.find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")))
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +104,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    listed = [p1_found, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p6_splits, p6_report, p7_found, p7_pages, p8_mixture, p8_report, p9_pieces]
+    listed = [p1_found, p1_variants, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p6_splits, p6_report, p7_found, p7_leaks, p7_pages, p8_mixture, p8_report, p9_pieces]
     return {f.__name__: f for f in listed}
 
 

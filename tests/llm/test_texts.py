@@ -41,14 +41,13 @@ def test_leaks_in_shards_and_odd_items(spark):
             if any(" ".join(w[s : s + 15]) in d for s in range(len(w) - 14)):
                 brute.add((i, k))
     assert set(one) == set(many) == brute and brute
-    assert leaks(spark, docs, []) == {} if False else True
     assert leaks(spark, docs[:3], [(90, None, None)]) == {}
 
 
 def test_leak_report(spark):
     d = spark.createDataFrame([(1, ITEM + " where did the skaters meet"), (2, "x")], "doc_id int, text string")
     i = spark.createDataFrame([(7, ITEM, "where did the skaters meet"), (8, ITEM, None)], "item_id int, text string, question string")
-    r = leakage.leak_report(leakage.find_leaks(d, i), d, i).collect()
+    r = leakage.leak_report(leakage.find_leaks(d, i)).collect()
     assert [(x.doc_id, x.items, x.questions_present) for x in r] == [(1, [7, 8], 1)]
 
 
