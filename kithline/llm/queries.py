@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithline.llm import chunking, leakage, merkle, mixture, quota, softlogic, splits, variants
+from kithline.llm import chunking, leakage, merkle, mixture, quota, softlogic, splits, tokens, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,12 +99,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_large(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of as many tokens as the listed sources have; those that are too small for their share are exhausted."""
+    listed = _t(spark, d, "source_targets").select("source")
+    size = _t(spark, d, "documents").join(F.broadcast(listed), "source").agg(F.sum(tokens.token_count("text"))).first()[0] or 0
+    return mixture.mix_sources(_t(spark, d, "documents"), _t(spark, d, "source_targets"), total_tokens=size)[1]
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_documents(_t(spark, d, "documents"), _t(spark, d, "piece_limits"))
 
 
 def queries() -> dict[str, Query]:
-    listed = [p1_found, p1_variants, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p6_splits, p6_report, p7_found, p7_leaks, p7_pages, p8_mixture, p8_report, p9_pieces]
+    listed = [p1_found, p1_variants, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p6_splits, p6_report, p7_found, p7_leaks, p7_pages, p8_mixture, p8_report, p8_large, p9_pieces]
     return {f.__name__: f for f in listed}
 
 
