@@ -39,11 +39,11 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table: the largest value in a range in constant time."""
+    """Sparse table: the largest value in a range of at most `widest` values in constant time."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, widest: int | None = None):
         self.levels = [values]
-        while (half := 1 << (len(self.levels) - 1)) * 2 <= len(values):
+        while (half := 1 << (len(self.levels) - 1)) * 2 <= min(len(values), widest or len(values)):
             a = self.levels[-1]
             self.levels.append(np.maximum(a[:-half], a[half:]))
 
@@ -71,7 +71,7 @@ def split_text(text: str, limit: int, overlap: int, enc, fill: float = 0.5) -> l
     whole = starts[byte]
     at = char[byte]
     strength = np.where(whole, strengths(text)[at], -1).astype(np.int64)
-    best = RangeMax(strength * (n + 1) + np.arange(n + 1))
+    best = RangeMax(strength * (n + 1) + np.arange(n + 1), limit + 1)
     out, start = [], 0
     while True:
         most = limit

@@ -246,15 +246,15 @@ def leaked(index: Index, text: str, run: int, window: int, reach: int, share: fl
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.8, share: float = 0.9, block: int = 8, window: int = 120, reach: int = 60, shard_chars: int = 2_000_000,
+    documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.8, share: float = 0.9, block: int = 8, window: int = 120, reach: int = 60, shard_chars: int = 300_000,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", question: str = "question",
 ) -> DataFrame:
     """item_id, doc_id, n_words, question_share: each page that has `run` or more consecutive words of an item, the longest run, and the share
     of the words of four or more letters of the item's question that the page has, too (null without a question).
 
-    The documents are read in place and never shuffled: the index goes to them.  Its size follows the items, so the
-    items are split by a hash of their id into shards of about `shard_chars` characters, and each shard is one pass
-    over the documents.  keep: the part of the score of a run that damage must leave (see Index).  window: words of
+    The documents are read in place and never shuffled: the index goes to them.  Its size follows the items (the table of bounds
+    even their square), so the items are split by a hash of their id into shards of about `shard_chars` characters, some
+    1,000 items and 100 MB, and each shard is one pass over the documents.  keep: the part of the score of a run that damage must leave (see Index).  window: words of
     a passage, half of them shared with the next.  share: the part of the weight of a run's words that the page must have
     somewhere before the words are compared in order.  reach: lines of other columns that may come between.
 

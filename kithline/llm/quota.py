@@ -132,7 +132,7 @@ def category_quotas(have: dict[str, int], targets: dict[str, tuple[float, int]],
 
 
 def sample_to_targets(
-    rows: DataFrame, targets: DataFrame, *, key: str, category: str = "category", stratum: Column | None = None, fraction: float = 1 / 3, size: int | None = None, seed: int = 11, max_cells: int = 1_000_000
+    rows: DataFrame, targets: DataFrame, *, key: str, category: str = "category", stratum: Column | None = None, fraction: float = 1 / 3, size: int | None = None, seed: int = 11, max_cells: int = 100_000
 ) -> tuple[DataFrame, DataFrame]:
     """(sample, report): rows drawn so that the categories have their target shares.
 
