@@ -40,11 +40,12 @@ def best_f1_threshold(df: DataFrame, prob: str, label: str, positive: str = "Mat
 def confusion(df: DataFrame, label: str, predicted: str, name: str) -> DataFrame:
     """tp (name of the model), actual, Match, No Match, Error, Rate: counts of decisions by actual class, and of all rows."""
     hit = lambda v: F.sum((F.col(predicted) == v).cast("long"))
-    wrong = F.sum((F.col(label) != F.col(predicted)).cast("long"))
-    cols = [hit("Match").alias("Match"), hit("No Match").alias("No Match"), F.try_divide(wrong.cast("double"), F.count(F.lit(1))).alias("Error"), F.concat(wrong.cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string")).alias("Rate")]
     rows = df.where(F.col(label).isNotNull() & F.col(predicted).isNotNull())
-    each = rows.groupBy(F.col(label).alias("actual")).agg(*cols)
-    return each.unionByName(rows.agg(*cols).select(F.lit("Totals").alias("actual"), "*")).select(F.lit(name).alias("tp"), "*")
+    each = rows.groupBy(F.col(label).alias("actual")).agg(hit("Match").alias("m"), hit("No Match").alias("o"), F.sum((F.col(label) != F.col(predicted)).cast("long")).alias("w"), F.count(F.lit(1)).alias("n"))
+    # the totals are made from the classes' counts, so the rows are scored once
+    total = each.agg(*[F.sum(c).alias(c) for c in "mown"]).where("n is not null").select(F.lit("Totals").alias("actual"), *"mown")
+    every = each.select("actual", *"mown").unionByName(total)
+    return every.select(F.lit(name).alias("tp"), "actual", F.col("m").alias("Match"), F.col("o").alias("No Match"), F.try_divide(F.col("w").cast("double"), F.col("n")).alias("Error"), F.concat(F.col("w").cast("string"), F.lit("/"), F.col("n").cast("string")).alias("Rate"))
 
 
 def example_lists(df: DataFrame, prob: str, first: str, last: str) -> dict[str, DataFrame]:

@@ -48,19 +48,41 @@ def drop_all_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.where(any_not_null(*[f"`{c}`" for c in cols]))
 
 
-def unpivot_groups(df: DataFrame, keys: Sequence[str], groups: dict[str, dict[str, str]], tag: str, required: Sequence[str] | None = None) -> DataFrame:
+def unpivot_groups(df: DataFrame, keys: Sequence[str], groups: dict[str | tuple[str, ...], dict[str, str]], tag: str | Sequence[str], required: Sequence[str] | None = None) -> DataFrame:
     """One row for each repeated group of columns: keys, the tag, and the group's attributes.
 
-    groups: {tag value: {attribute: column}}; an attribute that a group lacks is null.  Groups without a value in any of the `required` attributes
+    groups: {tag value: {attribute: column}}; an attribute that a group lacks is null.  For nested groups, such as the addresses of
+    subjects, tag is several names and the tag values are tuples.  Groups without a value in any of the `required` attributes
     (default: all) give no row.  One pass: the groups are an array of structs that is inlined.
     """
     attributes = list(dict.fromkeys(a for g in groups.values() for a in g))
     types = dict(df.dtypes)
     kind = {a: next(types[g[a]] for g in groups.values() if a in g) for a in attributes}
-    rows = [F.struct(F.lit(name).alias(tag), *[(F.col(f"`{g[a]}`") if a in g else F.lit(None)).cast(kind[a]).alias(a) for a in attributes]) for name, g in groups.items()]
+    tags = [tag] if isinstance(tag, str) else list(tag)
+    values = lambda name: [name] if isinstance(name, str) else list(name)
+    rows = [F.struct(*[F.lit(v).alias(t) for t, v in zip(tags, values(name))], *[(F.col(f"`{g[a]}`") if a in g else F.lit(None)).cast(kind[a]).alias(a) for a in attributes]) for name, g in groups.items()]
     return drop_all_null(df.select(*[f"`{k}`" for k in keys], F.inline(F.array(*rows))), list(required or attributes))
 
 
+def subject_addresses(columns: Sequence[str], subjects: int = 5, addresses: int = 10) -> dict[tuple[str, str], dict[str, str]]:
+    """Groups of a feed with columns subject{i}_name_{part} and subject{i}_address{a}_{part}, for unpivot_groups with the tags
+    (tu_subject, tu_address); a subject's name is in each of its groups."""
+    out: dict[tuple[str, str], dict[str, str]] = {}
+    for i in range(1, subjects + 1):
+        names = {c.removeprefix(f"subject{i}_name_"): c for c in columns if c.startswith(f"subject{i}_name_")}
+        for a in range(1, addresses + 1):
+            own = {c.removeprefix(f"subject{i}_address{a}_"): c for c in columns if c.startswith(f"subject{i}_address{a}_")}
+            if own:
+                out[f"subject{i}", f"address{a}"] = names | own
+    return out
+
+
+def listings(columns: Sequence[str], n: int = 10) -> dict[str, dict[str, str]]:
+    """Groups of a feed with columns phone_listing{i}_{attribute}, for unpivot_groups with the tag mcr_ord."""
+    every = {f"phone_listing{i}": {c.removeprefix(f"phone_listing{i}_"): c for c in columns if c.startswith(f"phone_listing{i}_")} for i in range(1, n + 1)}
+    return {k: v for k, v in every.items() if v}
+
+
 def address_sentinel(df: DataFrame, keys: Sequence[str], subject: str, address: str, attributes: Sequence[str]) -> DataFrame:
     """Rows without any address attribute are dropped, but where a person has no other address record one row says so.
 

@@ -39,11 +39,11 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT phone_number FROM ml_data WHERE phone_number IS NOT NULL GROUP BY phone_number HAVING count(*) >= 0.02 * (SELECT count(*) FROM ml_data)")
+@query("SELECT phone_number FROM ml_data WHERE phone_number IS NOT NULL GROUP BY phone_number HAVING count(*) * 50 >= (SELECT count(*) FROM ml_data)")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     per_phone = skew.eager_join_aggregate(table(spark, d, "ml_data"), _names(spark, d), "phone_number", {}, {})
     total = table(spark, d, "ml_data").agg(F.count(F.lit(1)).alias("total"))
-    return per_phone.join(F.broadcast(total), F.col("left_rows") >= F.col("total") * 0.02).select("phone_number")
+    return per_phone.join(F.broadcast(total), F.col("left_rows") * 50 >= F.col("total")).select("phone_number")
 
 
 @query("""
@@ -155,6 +155,14 @@ def unpivot_listings(spark: SparkSession, d: str) -> DataFrame:
     return reshape.unpivot_groups(table(spark, d, "ml_data"), ["pair_id"], groups, "mcr_ord", ["middle_name"])
 
 
+@query(" UNION ALL ".join(f"SELECT pair_id, 'subject{i}' AS tu_subject, 'address{a}' AS tu_address, first_name{i} AS first_name, last_name{i} AS last_name, {('CAST(phone_number AS VARCHAR)' if a == 1 else f'middle_name{i}')} AS full_address FROM ml_data WHERE coalesce(first_name{i}, last_name{i}, {('CAST(phone_number AS VARCHAR)' if a == 1 else f'middle_name{i}')}) IS NOT NULL" for i in (1, 2) for a in (1, 2)))
+def unpivot_subject_addresses(spark: SparkSession, d: str) -> DataFrame:
+    wide = {f"subject{i}_name_{p}_name": F.col(f"{p}_name{i}") for i in (1, 2) for p in ("first", "last")}
+    wide |= {f"subject{i}_address{a}_full_address": F.col("phone_number").cast("string") if a == 1 else F.col(f"middle_name{i}") for i in (1, 2) for a in (1, 2)}
+    t = table(spark, d, "ml_data").select("pair_id", *[c.alias(n) for n, c in wide.items()])
+    return reshape.unpivot_groups(t, ["pair_id"], reshape.subject_addresses(t.columns), ["tu_subject", "tu_address"])
+
+
 _ADDRESSES = """(SELECT phone_number, first_name, last_name, 'subject' || (1 + name_id % 2) AS tu_subject, '1-' || (1 + name_id % 3) AS tu_address, CASE WHEN first_seen IS NULL OR name_id % 4 = 0 THEN NULL ELSE 'since ' || year(first_seen) END AS full_address, CAST(last_seen AS VARCHAR) AS date_last_seen FROM name2)"""
 
 
@@ -285,6 +293,18 @@ def dist_matrix_54(spark: SparkSession, d: str) -> DataFrame:
     return out.select("review_id", *[c for c in out.columns if c.endswith(("_pct", "_soundex_cat"))])
 
 
+_MATRIX = [("lv", "1 - levenshtein({a}, {b}) / nullif(greatest(length({a}), length({b})), 0)::DOUBLE"), ("dl", "1 - damerau_levenshtein({a}, {b}) / nullif(greatest(length({a}), length({b})), 0)::DOUBLE"), ("jaccard", "CASE WHEN length({a}) > 0 AND length({b}) > 0 THEN jaccard({a}, {b}) WHEN length({a}) + length({b}) > 0 THEN 0 END")]
+
+
+@query("SELECT review_id, " + ", ".join(f"{x.format(a=a, b=b)} AS {a}_{b}_{m}_pct" for a, b, _ in features.COLUMN_PAIRS for m, x in _MATRIX) + f" FROM (SELECT *, {_FULL_SQL.format(i=1)} AS full_name1, {_FULL_SQL.format(i=2)} AS full_name2 FROM {_pairs_sql('ml_data_rvw')})")
+def dist_matrix_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The methods of the matrix that SQL has, for all column pairs."""
+    out = _pairs(spark, d, "ml_data_rvw").withColumns({f"full_name{i}": text.full_name(f"first_name{i}", f"middle_name{i}", f"last_name{i}") for i in (1, 2)})
+    for a, b, _ in features.COLUMN_PAIRS:
+        out = features.name_stringdist(out, a, b, [m for m, _ in _MATRIX])
+    return out.select("review_id", *[f"{a}_{b}_{m}_pct" for a, b, _ in features.COLUMN_PAIRS for m, _ in _MATRIX])
+
+
 @query(f"""SELECT pair_id, least(length(a), length(b)) < 3 AND substr(a, 1, least(length(a), length(b))) = substr(b, 1, least(length(a), length(b))) AS initial, length(a) > 3 AND length(b) > 3 AND (contains(a, b) OR contains(b, a)) AS detect, substr(a, 1, 1) = substr(b, 1, 1) AS first_char
     FROM {_AB} WHERE a IS NOT NULL AND b IS NOT NULL""")
 def token_predicates(spark: SparkSession, d: str) -> DataFrame:
@@ -313,6 +333,13 @@ def piece_tokens(spark: SparkSession, d: str) -> DataFrame:
     return sides[0].unionByName(sides[1]).where("val <> ''").select("review_id", "side", (F.col("p") + 1).cast("long").alias("pos"), "val")
 
 
+@query(f"SELECT x.id AS review_id, x.pos AS pos1, x.val AS val1, y.pos AS pos2, y.val AS val2 FROM {_TOKENS} x JOIN {_TOKENS} y ON x.id = y.id AND x.side = 1 AND y.side = 2")
+def piece_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All token pairs within a row: two generators, no join."""
+    out = _piece_rows(spark, d).select("review_id", "b", F.posexplode(F.split(text.clean_pieces("a"), " ")).alias("p", "val1")).select("review_id", "p", "val1", F.posexplode(F.split(text.clean_pieces("b"), " ")).alias("q", "val2"))
+    return out.where("val1 <> '' and val2 <> ''").select("review_id", (F.col("p") + 1).cast("long").alias("pos1"), "val1", (F.col("q") + 1).cast("long").alias("pos2"), "val2")
+
+
 _PIECES_SQL = f"""
     WITH t AS MATERIALIZED (SELECT * FROM {_TOKENS}), o AS MATERIALIZED (SELECT x.id, x.pos AS p1, x.val AS v1, y.pos AS p2, y.val AS v2 FROM t x JOIN t y ON x.id = y.id AND x.side = 1 AND y.side = 2),
     dist AS MATERIALIZED ({_dp_sql(_OSA_CELL, "(SELECT DISTINCT v1 AS a, v2 AS b FROM o)")}),
