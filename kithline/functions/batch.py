@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Pairs per step, sorted by length so that little of a matrix is padding.
-BATCH = 2048
+#: Pairs per step, sorted by length so that little of a matrix is padding, and cells of all their matrices; one long pair may have more.
+BATCH, CELLS = 2048, 4_000_000
 
 
 def encode(texts: Sequence[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,38 +27,47 @@ def _edit(a, la, b, lb, swaps: str) -> np.ndarray:
     """Edit distances; swaps: "" (Levenshtein), "adjacent" (optimal string alignment) or "any" (Damerau-Levenshtein)."""
     n, wide = b.shape
     j = np.arange(wide + 1)
-    rows = np.zeros((a.shape[1] + 1, n, wide + 1), dtype=np.int32)
-    rows[0] = j
+    rows = [np.tile(j.astype(np.int32), (n, 1))]
+    who, out = np.arange(n), lb.copy()
     seen = np.zeros((n, wide), dtype=np.int64)  # last row whose letter is b's
-    who = np.arange(n)[:, None]
     for i in range(1, a.shape[1] + 1):
         same = a[:, i - 1, None] == b
-        up, t = rows[i - 1], np.empty((n, wide + 1), dtype=np.int32)
+        up, t = rows[-1], np.empty((n, wide + 1), dtype=np.int32)
         t[:, 0] = i
         np.minimum(up[:, 1:] + 1, up[:, :-1] + ~same, out=t[:, 1:])
         if swaps == "adjacent" and i > 1:
             ok = (a[:, i - 1, None] == b[:, :-1]) & (a[:, i - 2, None] == b[:, 1:])
-            np.minimum(t[:, 2:], np.where(ok, rows[i - 2][:, :-2] + 1, t[:, 2:]), out=t[:, 2:])
+            np.minimum(t[:, 2:], np.where(ok, rows[-2][:, :-2] + 1, t[:, 2:]), out=t[:, 2:])
         elif swaps == "any":
             at = np.maximum.accumulate(np.where(same, j[1:], 0), axis=1)
             before = np.concatenate([np.zeros((n, 1), dtype=at.dtype), at[:, :-1]], axis=1)  # last column whose letter is a's
-            ok = (before > 0) & (seen > 0)
-            cost = rows[np.maximum(seen - 1, 0), who, np.maximum(before - 1, 0)] + (i - seen - 1) + 1 + (j[1:] - before - 1)
-            np.minimum(t[:, 1:], np.where(ok, cost, t[:, 1:]), out=t[:, 1:])
+            p, q = np.nonzero((before > 0) & (seen > 0))
+            for k in np.unique(seen[p, q]):  # the rows that are swapped with
+                m = seen[p, q] == k
+                x, y = p[m], q[m]
+                cost = rows[k - 1][x, before[x, y] - 1] + (i - k - 1) + 1 + (y + 1 - before[x, y] - 1)
+                t[x, y + 1] = np.minimum(t[x, y + 1], cost)
             seen = np.where(same, i, seen)
-        rows[i] = np.minimum.accumulate(t - j, axis=1) + j
-    return rows[la, np.arange(n), lb]
+        row = np.minimum.accumulate(t - j, axis=1) + j
+        rows.append(row.astype(np.int32))
+        if swaps != "any":
+            del rows[:-2]
+        done = la == i
+        out[done] = row[who[done], lb[done]]
+    return out
 
 
 def _lcs(a, la, b, lb) -> np.ndarray:
     """Length of the longest common subsequence."""
     n, wide = b.shape
-    rows = np.zeros((a.shape[1] + 1, n, wide + 1), dtype=np.int32)
+    row, out, who = np.zeros((n, wide + 1), dtype=np.int32), np.zeros(n, dtype=np.int64), np.arange(n)
     for i in range(1, a.shape[1] + 1):
-        t = rows[i - 1].copy()
-        np.maximum(t[:, 1:], rows[i - 1][:, :-1] + (a[:, i - 1, None] == b), out=t[:, 1:])
-        rows[i] = np.maximum.accumulate(t, axis=1)
-    return rows[la, np.arange(n), lb]
+        t = row.copy()
+        np.maximum(t[:, 1:], row[:, :-1] + (a[:, i - 1, None] == b), out=t[:, 1:])
+        row = np.maximum.accumulate(t, axis=1)
+        done = la == i
+        out[done] = row[who[done], lb[done]]
+    return out
 
 
 def _jaro(a, la, b, lb, halves: bool) -> np.ndarray:
@@ -83,6 +92,14 @@ def _jaro(a, la, b, lb, halves: bool) -> np.ndarray:
 
 def _letters(a, la, b, lb) -> tuple[np.ndarray, np.ndarray]:
     """(distance of the letter counts, cosine of the letter counts)."""
+    if a.size * (a.shape[1] + b.shape[1]) > 4 * CELLS:
+        dist, cos = np.zeros(len(a)), np.zeros(len(a))
+        for k in range(len(a)):
+            x, y = (dict(zip(*np.unique(t[k, :n], return_counts=True))) for t, n in ((a, la[k]), (b, lb[k])))
+            dist[k] = sum(abs(int(x.get(c, 0)) - int(y.get(c, 0))) for c in {*x, *y})
+            norm = (sum(int(v) ** 2 for v in x.values()) * sum(int(v) ** 2 for v in y.values())) ** 0.5
+            cos[k] = sum(int(v) * int(y.get(c, 0)) for c, v in x.items()) / norm if norm else 0.0
+        return dist, cos
     both = np.concatenate([a, b], axis=1)
     real = np.concatenate([np.arange(a.shape[1])[None, :] < la[:, None], np.arange(b.shape[1])[None, :] < lb[:, None]], axis=1)
     ca = (both[:, :, None] == a[:, None, :]).sum(axis=2)
@@ -98,9 +115,14 @@ def similarities(left: Sequence[str], right: Sequence[str], methods: Sequence[st
     """Similarity of each pair by each method: lv, osa, dl, lcs, qgram (1 - distance / longer length), cosine, jw (plain Jaro),
     jw_floor.  NaN for two empty strings, but 0 by jw."""
     out = {m: np.full(len(left), np.nan) for m in methods}
-    order = np.argsort(np.fromiter((max(len(x), len(y)) for x, y in zip(left, right)), dtype=np.int64, count=len(left)), kind="stable")
-    for s in range(0, len(order), BATCH):
-        at = order[s : s + BATCH]
+    longest = np.fromiter((max(len(x), len(y)) for x, y in zip(left, right)), dtype=np.int64, count=len(left))
+    order = np.argsort(longest, kind="stable")
+    end = 0
+    while (start := end) < len(order):
+        end = min(start + BATCH, len(order))
+        while end - start > 1 and (end - start) * int(longest[order[end - 1]] + 1) ** 2 > CELLS:
+            end = start + (end - start) // 2
+        at = order[start:end]
         a, la = encode([left[k] for k in at], -1)
         b, lb = encode([right[k] for k in at], -2)
         longer = np.maximum(la, lb).astype(float)

@@ -117,6 +117,12 @@ def test_token_predicates(spark):
     assert [tuple(r) for r in rows] == [(True, False, True), (False, True, False), (True, False, True), (None, False, None)]
 
 
+def test_long_texts():
+    a, b = "ab" * 1500, "ba" * 1400
+    got = similarities([a, "smith"], [b, "smyth"], ALL)
+    assert abs(got["lv"][1] - 0.8) < 1e-9 and 0 < got["osa"][0] < 1 and got["osa"][0] <= got["dl"][0] and abs(got["qgram"][0] - (1 - 200 / 3000)) < 1e-9 and got["cosine"][0] > 0.999
+
+
 def test_unknown_method():
     with pytest.raises(ValueError):
         similarities(["a"], ["b"], ["nope"])
