@@ -39,7 +39,7 @@ def estimator(kind: str, params: dict, width: int, seed: int = 1):
     if kind == "GBM":
         return GBTClassifier(**common, seed=seed, **params)
     if kind == "GLM":
-        return LogisticRegression(**common, **params)
+        return LogisticRegression(**common, maxIter=50, tol=1e-5, **params)
     if kind == "NN":
         p = dict(params)
         return MultilayerPerceptronClassifier(**common, seed=seed, layers=[width, *p.pop("hidden", (32, 32)), 2], **p)
