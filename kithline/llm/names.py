@@ -27,7 +27,7 @@ APART = [frozenset(x.split("/")) for x in (
 ).split()]
 #: Words of a name that say little about who is meant.
 TITLES = frozenset("mr mrs ms miss dr prof rev sir jr sr ii iii iv md phd esq".split())
-FILLERS = frozenset("the and of n co company inc incorporated corp corporation llc ltd limited".split())
+FILLERS = frozenset("the and of co company inc incorporated corp corporation llc ltd limited".split())
 #: Abbreviations of words in the names of organisations.
 SHORT = {
     "centre": "center", "ctr": "center", "metro": "metropolitan", "assoc": "associates", "assocs": "associates", "svcs": "services", "svc": "services", "serv": "services", "acctg": "accounting", "acct": "accounting", "constr": "construction",
@@ -224,19 +224,23 @@ def compare(one: Sequence[str], two: Sequence[str], w: Weights, mid1: Sequence[s
                 right.remove(y)
                 score += s * (w.weigh(x) + w.weigh(y)) / 2
     m1, m2, both = list(mid1), list(mid2), bool(left and right)
-    for rest, mids in ((left, m2), (right, m1)):
+    called = False  # by the middle name: one side's first name is the other's middle name in full, and that side has none
+    for rest, mids, own in ((left, m2, mid1), (right, m1, mid2)):
         for x in list(rest):
             for m in mids:
-                if w.alike(x, m) > 0:
+                if (s := w.alike(x, m)) > 0:
                     rest.remove(x)
                     mids.remove(m)
+                    called = called or (s > 0.8 and min(len(x), len(m)) > 2 and not own)
                     break
+    if m1 and m2:
+        if not any(w.alike(x, y) or w.indirect(x, y) for x in m1 for y in m2):
+            return 0.0
+        m1, m2 = [], []
     # an initial that stands for the other's name while a name of its own side is left over is a middle initial
     if (lone[0] and any(len(x) > 1 for x in left)) or (lone[1] and any(len(y) > 1 for y in right)):
         return 0.0
-    if (both and (left or right)) or (left and m2) or (right and m1):
-        return 0.0
-    if m1 and m2 and not any(w.alike(x, y) or w.indirect(x, y) for x in m1 for y in m2):
+    if (both and (left or right) and not (called and len(left) + len(right) == 1)) or (left and m2) or (right and m1):
         return 0.0
     unmatched = sum(map(w.weigh, left)) + sum(map(w.weigh, right))
     return score / (score + unmatched / 2)
