@@ -109,25 +109,24 @@ def controlled_rounding(cells: dict[tuple, float]) -> dict[tuple, int]:
 def category_quotas(have: dict[str, int], targets: dict[str, tuple[float, int]], size: int) -> dict[str, int]:
     """Whole numbers of rows to draw from each category.
 
-    A category wants its share of `size`, or its minimum if that is more.  One that has fewer rows gives all of them; what is missing
-    goes to the others in proportion to their shares, so that the sample has `size` rows if there are as many.
-    Fractions go to the largest remainders.
+    A category wants its share of `size`, or its minimum if that is more; what minimums add is taken from the others in proportion to their
+    shares.  One that has fewer rows than it wants gives all of them.  What it lacks isn't made up for by others, whose shares would only move away
+    from their targets, so the sample may have fewer than `size` rows.  Fractions go to the largest remainders.
     """
-    fixed: dict[str, int] = {}
+    raised: dict[str, int] = {}
     while True:
-        free = [c for c in targets if c not in fixed]
-        left, weight = size - sum(fixed.values()), sum(targets[c][0] for c in free)
-        want = {c: max(0.0, left * targets[c][0] / weight) if weight > 0 else 0.0 for c in free}
-        short = {c: have.get(c, 0) for c in free if have.get(c, 0) <= want[c]}
-        raised = {c: min(targets[c][1], have.get(c, 0)) for c in free if c not in short and targets[c][1] > want[c]}
-        if not short and not raised:
+        free = [c for c in targets if c not in raised]
+        left, weight = max(0, size - sum(raised.values())), sum(targets[c][0] for c in free)
+        want = {c: left * targets[c][0] / weight if weight > 0 else 0.0 for c in free}
+        more = {c: m for c in free if (m := min(targets[c][1], have.get(c, 0))) > want[c]}
+        if not more:
             break
-        fixed |= short or raised
-    out = fixed | {c: math.floor(v) for c, v in want.items()}
-    rest = size - sum(out.values())
-    for c in sorted(want, key=lambda c: (math.floor(want[c]) - want[c], c)):
-        if rest > 0 and out[c] < have.get(c, 0):
-            out[c], rest = out[c] + 1, rest - 1
+        raised |= more
+    out = raised | {c: min(math.floor(v), have.get(c, 0)) for c, v in want.items()}
+    whole = {c: v for c, v in want.items() if have.get(c, 0) > math.floor(v)}
+    rest = round(sum(whole.values())) - sum(out[c] for c in whole)
+    for c in sorted(whole, key=lambda c: (math.floor(want[c]) - want[c], c))[: max(0, rest)]:
+        out[c] += 1
     return out
 
 

@@ -67,7 +67,7 @@ def test_controlled_rounding():
 
 def test_category_quotas():
     assert quota.category_quotas({"a": 100, "b": 100}, {"a": (0.5, 0), "b": (0.5, 0)}, 51) == {"a": 26, "b": 25}
-    assert quota.category_quotas({"a": 100, "b": 3}, {"a": (0.5, 0), "b": (0.5, 0)}, 50) == {"a": 47, "b": 3}
+    assert quota.category_quotas({"a": 100, "b": 3}, {"a": (0.5, 0), "b": (0.5, 0)}, 50) == {"a": 25, "b": 3}
     assert quota.category_quotas({"a": 100, "b": 100}, {"a": (0.9, 0), "b": (0.1, 20)}, 50) == {"a": 30, "b": 20}
     assert quota.category_quotas({}, {"a": (1.0, 5)}, 0) == {"a": 0}
 
@@ -80,8 +80,9 @@ def test_sample(spark):
     sample, report = quota.sample_to_targets(df, targets, key="id", stratum=F.col("s"))
     n = sum(x[1] is not None for x in rows) // 3
     got = sample.collect()
-    assert len(got) == n and len({x.id for x in got}) == n and sample.columns == df.columns
     by = {x.category: x for x in report.collect()}
+    assert len({x.id for x in got}) == len(got) == round(0.9 * n) + 1 and sample.columns == df.columns
+    assert by["a"].drawn == round(n * 0.5) and by["b"].drawn == round(0.9 * n) - by["a"].drawn
     assert Counter(x.category for x in got) == {k: v.drawn for k, v in by.items() if v.drawn}
     assert not by["c"].met and by["c"].below_min and not by["none"].met and by["a"].met and by["c"].drawn == 1
     strata = Counter((x.category, x.s) for x in got)
