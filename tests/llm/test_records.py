@@ -82,7 +82,7 @@ def test_sample(spark):
     got = sample.collect()
     by = {x.category: x for x in report.collect()}
     assert len({x.id for x in got}) == len(got) == round(0.9 * n) + 1 and sample.columns == df.columns
-    assert by["a"].drawn == round(n * 0.5) and by["b"].drawn == round(0.9 * n) - by["a"].drawn
+    assert abs(by["a"].drawn - n * 0.5) < 1 and by["b"].drawn == round(0.9 * n) - by["a"].drawn
     assert Counter(x.category for x in got) == {k: v.drawn for k, v in by.items() if v.drawn}
     assert not by["c"].met and by["c"].below_min and not by["none"].met and by["a"].met and by["c"].drawn == 1
     strata = Counter((x.category, x.s) for x in got)
