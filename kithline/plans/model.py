@@ -110,7 +110,7 @@ class NameMatcher:
         rows = labelled.where(F.col("category").isin("Match", "No Match")).withColumn("_row", F.col(key))
         features = feature_table(rows)
         numeric = {n for n, t in features.dtypes if t in ("double", "float", "int", "bigint")}
-        made = [c for c in features.columns if c not in rows.columns and not c.startswith("full_name1_full") or c.endswith(("_pct", "_cat"))]
+        made = [c for c in features.columns if c not in rows.columns]
         cols = [c for c in prepare.predictors(made) if c in numeric or c.endswith("_soundex_cat")]
         features = features.select("_row", "category", *cols).persist()
         stats = prepare.moments(features, [c for c in cols if c in numeric])
