@@ -3,7 +3,7 @@
 The items are cut into overlapping chunks and put into an inverted index with BM25 impacts, grouped in blocks
 that keep, for each term, the largest impact of the block.  Every page is a query: the sum of its terms' block
 maxima bounds the score of all chunks of a block, and only blocks whose bound reaches a chunk's threshold are
-scored exactly (block-max WAND; the lists of a passage's terms are traversed together, as vectors, so that all pivots are found at once).  Items whose chunk
+scored exactly (block-max WAND; the lists of a page's terms are traversed together, as vectors, so that all pivots are found at once).  Items whose chunk
 reaches its threshold are verified word by word on the page.
 
 Words are compared by a skeleton in which letters that scanners confuse are one letter, and a match is confirmed
@@ -185,7 +185,7 @@ class Index:
         self.least = self.need.min(axis=1) if blocks else np.zeros(0, dtype=np.float32)
 
     def terms(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows of the distinct terms of a passage; words are numbers of the vocabulary or -1."""
+        """Rows of the distinct terms of a page; words are numbers of the vocabulary or -1."""
         a, z = words[:-1], words[1:]
         two = (a * self.size + z)[(a >= 0) & (z >= 0) & ~ends[:-1]]
         at = np.searchsorted(self.pairs, two)
@@ -207,7 +207,7 @@ class Index:
         return set(self.owner[pivots][scores >= self.need[pivots]].tolist())
 
 
-def leaked(index: Index, text: str, run: int, window: int, reach: int, share: float) -> list[tuple[int, int, float | None]]:
+def leaked(index: Index, text: str, run: int, reach: int, share: float) -> list[tuple[int, int, float | None]]:
     """(number of the item, words of its longest run, share of its question's words) of each item of which the text has a run."""
     folded = segments(text.lower().translate(FOLD))
     n = sum(map(len, folded))
@@ -217,36 +217,25 @@ def leaked(index: Index, text: str, run: int, window: int, reach: int, share: fl
     words = np.array([get(w, -1) for s in folded for w in s], dtype=np.int64)
     ends = np.zeros(n, dtype=bool)
     ends[np.cumsum([len(s) for s in folded]) - 1] = True
-    of = np.repeat(np.arange(len(folded)), [len(x) for x in folded])
-    where: dict[int, list[list[int]]] = {}  # item -> stretches of words to verify; neighbouring passages make one
-    for s in range(0, max(1, n - window // 2), window // 2):
-        for i in index.candidates(index.terms(words[s : s + window], ends[s : s + window])):
-            at = where.setdefault(i, [])
-            if at and s <= at[-1][1]:
-                at[-1][1] = s + window
-            else:
-                at.append([s, s + window])
-    if not where:
+    # the whole page is one passage: what stands between the parts of a run may be longer than any shorter one
+    hits = index.candidates(index.terms(words, ends))
+    if not hits:
         return []
-    raw, best, known = None, {}, {}
-    for i, stretches in where.items():
-        for s, e in stretches:
-            lo, hi = of[max(0, s - window)], of[min(n, e + window) - 1] + 1
-            near = folded[lo:hi]
-            if (lo, hi) not in known:
-                present = known[lo, hi] = {w for x in near for w in x}
-                heads = [x[0] for x in near]
-                present.update([x[-1] + y for k, x in enumerate(near) for y in heads[k + 1 : k + 1 + NEAR]])
-            if index.items[i].best_share(known[lo, hi], run) >= share:
-                raw = raw or segments(letters(text))
-                best[i] = max(best.get(i, 0), index.items[i].longest_run(raw[lo:hi], near, reach))
+    raw, best = None, {}
+    present = {w for x in folded for w in x}
+    heads = [x[0] for x in folded]
+    present.update([x[-1] + y for k, x in enumerate(folded) for y in heads[k + 1 : k + 1 + NEAR]])
+    for i in hits:
+        if index.items[i].best_share(present, run) >= share:
+            raw = raw or segments(letters(text))
+            best[i] = index.items[i].longest_run(raw, folded, reach)
     found = [(i, k) for i, k in sorted(best.items()) if k >= run]
     every = {w for x in folded for w in x} if any(index.items[i].question for i, _ in found) else set()
     return [(i, k, len(q & every) / len(q) if (q := index.items[i].question) else None) for i, k in found]
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.8, share: float = 0.9, block: int = 8, window: int = 120, reach: int = 60, shard_chars: int = 300_000,
+    documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.8, share: float = 0.9, block: int = 8, reach: int = 60, shard_chars: int = 300_000,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", question: str = "question",
 ) -> DataFrame:
     """item_id, doc_id, n_words, question_share: each page that has `run` or more consecutive words of an item, the longest run, and the share
@@ -254,9 +243,8 @@ def find_leaks(
 
     The documents are read in place and never shuffled: the index goes to them.  Its size follows the items (the table of bounds
     even their square), so the items are split by a hash of their id into shards of about `shard_chars` characters, some
-    1,000 items and 100 MB, and each shard is one pass over the documents.  keep: the part of the score of a run that damage must leave (see Index).  window: words of
-    a passage, half of them shared with the next.  share: the part of the weight of a run's words that the page must have
-    somewhere before the words are compared in order.  reach: lines of other columns that may come between.
+    1,000 items and 100 MB, and each shard is one pass over the documents.  keep: the part of the score of a run that damage must leave (see Index).  share: the part of the weight of a
+    run's words that the page must have somewhere before the words are compared in order.  reach: lines of other columns that may come between.
 
     Null or empty texts leak nothing; items under `run` words can't leak; items of equal text are all reported; an
     item id that occurs twice with different texts gives one row with the longest run.
@@ -276,7 +264,7 @@ def find_leaks(
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             x = index.value
             for b in batches:
-                hits = [(x.ids[i], d, k, q) for d, t in zip(b["doc_id"], b["t"]) for i, k, q in leaked(x, t, run, window, reach, share)]
+                hits = [(x.ids[i], d, k, q) for d, t in zip(b["doc_id"], b["t"]) for i, k, q in leaked(x, t, run, reach, share)]
                 yield pd.DataFrame(hits, columns=["item_id", "doc_id", "n_words", "question_share"])
 
         found = pages.mapInPandas(search, schema)

@@ -44,6 +44,16 @@ def test_leaks_in_shards_and_odd_items(spark):
     assert leaks(spark, docs[:3], [(90, None, None)]) == {}
 
 
+def test_leaks_around_a_long_advert():
+    """Fifteen words with some 160 words of other columns' lines in their middle."""
+    words = [f"{a}{b}" for a in ("mar", "kel", "dov", "tin", "sul") for b in ("gat", "por", "zin", "hub")]
+    index = leakage.Index([1, 2], [" ".join(words), " ".join(w[::-1] for w in words)], 15, 4, 0.8, 8)
+    advert = [" ".join(f"x{r}y{c}" for c in range(8)) for r in range(20)]
+    for cut in (4, 8, 11):
+        page = "\n".join(["other news of the day", " ".join(words[2 : 2 + cut]), *advert, " ".join(words[2 + cut : 17]), "and more"])
+        assert [(i, k) for i, k, _ in leakage.leaked(index, page, run=15, reach=60, share=0.9)] == [(0, 15)], cut
+
+
 def test_leak_report(spark):
     d = spark.createDataFrame([(1, ITEM + " where did the skaters meet"), (2, "x")], "doc_id int, text string")
     i = spark.createDataFrame([(7, ITEM, "where did the skaters meet"), (8, ITEM, None)], "item_id int, text string, question string")
