@@ -45,8 +45,6 @@ class _Letters(dict):
 
 
 LETTERS, FOLD = _Letters({}), _Letters(SKELETON)
-#: Segments on in which the rest of a word broken at a segment's end is looked for, when presence is tested.
-NEAR = 6
 #: Power of the log frequency ratio in that test; rare words decide.
 POWER = 2
 SEGMENT = re.compile(r"[\n\r\f\v]|[ \t]{2,}")
@@ -92,11 +90,16 @@ class Item:
             self.at[w].append(p)
             self.initial[w[:1]].append(p)
 
-    def best_share(self, present: set[str], run: int) -> float:
-        """Largest share, by weight, of the words of any `run` consecutive ones that are among those present."""
-        all_ = np.cumsum(np.concatenate([[0.0], self.weights]))
-        got = np.cumsum(np.concatenate([[0.0], self.weights * np.fromiter((w in present for w in self.words), float, len(self.words))]))
-        return float(((got[run:] - got[:-run]) / (all_[run:] - all_[:-run])).max())
+    def prepare(self, weights: np.ndarray, vocabulary: dict[str, int], run: int) -> None:
+        self.weights, self.numbers = weights, np.array([vocabulary[w] for w in self.words], dtype=np.int64)
+        all_ = np.cumsum(np.concatenate([[0.0], weights]))
+        self.runs = all_[run:] - all_[:-run]
+
+    def best_share(self, present: np.ndarray, run: int) -> float:
+        """Largest share, by weight, of the words of any `run` consecutive ones that are among those present, a flag for each word of the vocabulary."""
+        got = np.zeros(len(self.weights) + 1)
+        np.cumsum(self.weights * present[self.numbers], out=got[1:])
+        return float(((got[run:] - got[:-run]) / self.runs).max())
 
     def longest_run(self, raw: list[list[str]], folded: list[list[str]], reach: int) -> int:
         """Most consecutive words of the item that the page has in order.
@@ -151,8 +154,6 @@ class Index:
         chunks = [(i, x.words[s : s + run + stride]) for i, x in enumerate(self.items) for s in range(0, max(1, len(x.words) - run + 1), stride) if len(x.words) >= run]
         bags = [Counter([*w, *zip(w, w[1:])]) for _, w in chunks]
         df = Counter(t for bag in bags for t in bag)
-        for x in self.items:
-            x.weights = np.array([np.log1p(len(bags) / (1 + df[w])) ** POWER for w in x.words])
         n, mean = max(1, len(bags)), sum(map(len, bags)) / max(1, len(bags))
         impact = lambda t, bag: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * bag[t] * (k1 + 1) / (bag[t] + k1 * (1 - b + b * len(bag) / mean))
         # alike chunks stand in one block, which keeps the bounds tight
@@ -160,6 +161,13 @@ class Index:
         vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in chunks for w in ws}))}
         pairs = sorted({(vocabulary[a], vocabulary[z]) for bag in bags for t in bag if isinstance(t, tuple) for a, z in [t]})
         self.vocabulary, self.size = vocabulary, len(vocabulary)
+        for x in self.items:
+            if len(x.words) >= run:
+                x.prepare(np.array([np.log1p(len(bags) / (1 + df[w])) ** POWER for w in x.words]), vocabulary, run)
+        self.rests: dict[str, dict[str, str]] = defaultdict(dict)  # first part of a word -> {its rest: the word}
+        for w in vocabulary:
+            for k in range(1, len(w)):
+                self.rests[w[:k]][w[k:]] = w
         self.pairs = np.array([a * self.size + z for a, z in pairs], dtype=np.int64)
         row = {**vocabulary, **{p: self.size + k for k, p in enumerate(pairs)}}
         key = lambda t: row[t] if isinstance(t, str) else row[vocabulary[t[0]], vocabulary[t[1]]]
@@ -184,6 +192,20 @@ class Index:
         self.flat = self.tables.reshape(-1, block)
         self.least = self.need.min(axis=1) if blocks else np.zeros(0, dtype=np.float32)
 
+    def rejoined(self, folded: list[list[str]], reach: int) -> list[tuple[str | None, str, str | None]]:
+        """Words of which a first part ends a segment and the rest begins one at most `reach` segments on, each between its neighbours."""
+        heads: dict[str, list[int]] = defaultdict(list)
+        for k, x in enumerate(folded):
+            heads[x[0]].append(k)
+        out = {}
+        for k, x in enumerate(folded):
+            rests = self.rests.get(x[-1])
+            for r in rests.keys() & heads.keys() if rests else ():
+                for y in heads[r]:
+                    if 0 < y - k <= reach:
+                        out[x[-2] if len(x) > 1 else None, rests[r], folded[y][1] if len(folded[y]) > 1 else None] = True
+        return list(out)
+
     def terms(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Rows of the distinct terms of a page; words are numbers of the vocabulary or -1."""
         a, z = words[:-1], words[1:]
@@ -217,14 +239,16 @@ def leaked(index: Index, text: str, run: int, reach: int, share: float) -> list[
     words = np.array([get(w, -1) for s in folded for w in s], dtype=np.int64)
     ends = np.zeros(n, dtype=bool)
     ends[np.cumsum([len(s) for s in folded]) - 1] = True
+    broken = index.rejoined(folded, reach)
+    words = np.append(words, np.array([get(w, -1) for x in broken for w in x], dtype=np.int64))
+    ends = np.append(ends, np.array([False, False, True] * len(broken), dtype=bool))
     # the whole page is one passage: what stands between the parts of a run may be longer than any shorter one
     hits = index.candidates(index.terms(words, ends))
     if not hits:
         return []
     raw, best = None, {}
-    present = {w for x in folded for w in x}
-    heads = [x[0] for x in folded]
-    present.update([x[-1] + y for k, x in enumerate(folded) for y in heads[k + 1 : k + 1 + NEAR]])
+    present = np.zeros(index.size, dtype=bool)
+    present[words[words >= 0]] = True
     for i in hits:
         if index.items[i].best_share(present, run) >= share:
             raw = raw or segments(letters(text))

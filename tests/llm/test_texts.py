@@ -54,6 +54,18 @@ def test_leaks_around_a_long_advert():
         assert [(i, k) for i, k, _ in leakage.leaked(index, page, run=15, reach=60, share=0.9)] == [(0, 15)], cut
 
 
+def test_leaks_with_a_rare_word_broken_before_an_advert():
+    """The rest of the word stands twelve lines on; no other item has it, which makes it worth more than what may be missing."""
+    common = "the of and to in that was for with his had from they were been this".split()
+    texts = [" ".join(["breanneaton" if (k, j) == (0, 7) else w for j, w in enumerate(random.Random(k).sample(common, 15))]) for k in range(60)]
+    words = texts[0].split()
+    index = leakage.Index(list(range(60)), texts, 15, 4, 0.8, 8)
+    for lines, want in ((12, 15), (70, None)):
+        page = "\n".join([" ".join(words[:7]) + " breanne", *[f"x{r}y z{r}y" for r in range(lines)], "aton " + " ".join(words[8:])])
+        got = {i: k for i, k, _ in leakage.leaked(index, page, run=15, reach=60, share=0.9)}
+        assert got.get(0) == want, (lines, got)
+
+
 def test_leak_report(spark):
     d = spark.createDataFrame([(1, ITEM + " where did the skaters meet"), (2, "x")], "doc_id int, text string")
     i = spark.createDataFrame([(7, ITEM, "where did the skaters meet"), (8, ITEM, None)], "item_id int, text string, question string")
