@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kithline.operators.skew import running_sums
+
 
 def decide(df: DataFrame, prob: str = "prob", threshold: float = 0.5) -> DataFrame:
     """df with decision: Match above the threshold, No Match at or below it; null for a null probability."""
     return df.withColumn("decision", F.when(F.col(prob) > threshold, "Match").when(F.col(prob).isNotNull(), "No Match"))
 
 
+def _by_threshold(df: DataFrame, prob: str, label: str, positive: str) -> DataFrame:
+    """p, pos, neg, tp_, fp_: rows of each distinct probability, and of all at or above it.  The running sums pass over ranges of probabilities in parallel."""
+    rows = df.where(F.col(prob).isNotNull() & F.col(label).isNotNull())
+    by = rows.groupBy(F.col(prob).alias("p")).agg(F.sum((F.col(label) == positive).cast("long")).alias("pos"), F.sum((F.col(label) != positive).cast("long")).alias("neg"))
+    return running_sums(by, -F.col("p"), {"tp_": "pos", "fp_": "neg"})
+
+
 def roc_points(df: DataFrame, prob: str, label: str, positive: str = "Match", name: str | None = None, origin: bool = False) -> DataFrame:
     """fpr, tpr (and tp, the name of the model): one point for each distinct probability as threshold.
 
-    Counts are aggregated by probability first, so that the running sums pass over distinct values only.  Probabilities are rounded to nine decimals.
     A rate without rows to refer to is null.  origin: with the point (0, 0).
     """
-    by = df.where(F.col(prob).isNotNull() & F.col(label).isNotNull()).groupBy(F.round(prob, 9).alias("p")).agg(F.sum((F.col(label) == positive).cast("long")).alias("pos"), F.sum((F.col(label) != positive).cast("long")).alias("neg"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    run = by.select(F.sum("pos").over(down).alias("tp_"), F.sum("neg").over(down).alias("fp_")).join(F.broadcast(total), F.lit(True))
-    out = run.select(F.try_divide(F.col("fp_").cast("double"), F.col("all_neg")).alias("fpr"), F.try_divide(F.col("tp_").cast("double"), F.col("all_pos")).alias("tpr"))
+    run = _by_threshold(df, prob, label, positive)
+    total = run.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    out = run.join(F.broadcast(total), F.lit(True)).select(F.try_divide(F.col("fp_").cast("double"), F.col("all_neg")).alias("fpr"), F.try_divide(F.col("tp_").cast("double"), F.col("all_pos")).alias("tpr"))
     if origin:
         out = out.unionByName(df.sparkSession.createDataFrame([(0.0, 0.0)], "fpr double, tpr double"))
     return out.withColumn("tp", F.lit(name)) if name else out
@@ -29,10 +35,8 @@ def roc_points(df: DataFrame, prob: str, label: str, positive: str = "Match", na
 
 def best_f1_threshold(df: DataFrame, prob: str, label: str, positive: str = "Match") -> float:
     """The probability at or above which a decision for the positive class has the highest F1; the largest of equal ones."""
-    by = df.groupBy(F.round(prob, 9).alias("p")).agg(F.sum((F.col(label) == positive).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("pos").alias("all_pos"))
-    f1 = by.select("p", F.sum("pos").over(down).alias("t"), F.sum("n").over(down).alias("k")).join(F.broadcast(total), F.lit(True)).select("p", F.try_divide(2 * F.col("t").cast("double"), F.col("k") + F.col("all_pos")).alias("f1"))
+    run = _by_threshold(df, prob, label, positive)
+    f1 = run.join(F.broadcast(run.agg(F.sum("pos").alias("all_pos"))), F.lit(True)).select("p", F.try_divide(2 * F.col("tp_").cast("double"), F.col("tp_") + F.col("fp_") + F.col("all_pos")).alias("f1"))
     row = f1.orderBy(F.desc("f1"), F.desc("p")).first()
     return row.p if row else 0.5
 

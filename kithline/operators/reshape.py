@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from kithline.functions.text import any_not_null
 
 #: What stands in for an address that isn't known, and its tag.
-NO_ADDRESS, NO_ADDRESS_TAG = "**No Address Information Provided**", "1-10"
+NO_ADDRESS, NO_ADDRESS_TAG = "**No Address Information Provided for this Phone Number and Name**", "1-10"
+ADDRESS_PREFIX, SUBJECT_PREFIX = "tu_address", "tu_subject"
+#: The words of a column name.
 _WORDS = re.compile(r"[A-Z][a-z]+[0-9]+|[A-Z][a-z]+|[a-z]+|[A-Z]+")
 
 
@@ -84,16 +86,30 @@ def listings(columns: Sequence[str], n: int = 10) -> dict[str, dict[str, str]]:
 
 
 def address_sentinel(df: DataFrame, keys: Sequence[str], subject: str, address: str, attributes: Sequence[str]) -> DataFrame:
-    """Rows without any address attribute are dropped, but where a person has no other address record one row says so.
+    """Rows of subjects with a single record say that there is no other address; rows without any address attribute are dropped.
 
     keys: columns of the person (phone and names); subject and address: the tags; attributes: the address columns, the first of which is the full address.
-    A person whose distinct records, the address tag aside, are a single one gets a row with NO_ADDRESS as full address, NO_ADDRESS_TAG as tag,
-    and the list of its subjects in order.  Null keys are equal to each other.
+    Where a person's subject has one distinct record, the address tag aside, all rows of that person and subject get NO_ADDRESS as full address,
+    NO_ADDRESS_TAG as address tag, and as subject the list of all such subjects of the person in ascending order; their other attributes stay.  Then both
+    tags get their prefixes, and repeated rows go.  Null keys are equal to each other.
+
+    A subject's records are counted with partial aggregation over distinct rows.  The list of subjects is short, as a feed has few per row.
     """
     records = df.drop(address).distinct()
-    per = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array_join(F.sort_array(F.collect_set(subject)), ", ").alias(subject))
-    alone = per.where("_n = 1").select(*keys, F.col(subject), F.lit(NO_ADDRESS_TAG).alias(address), F.lit(NO_ADDRESS).alias(attributes[0]), *[F.lit(None).cast(dict(df.dtypes)[a]).alias(a) for a in attributes[1:]])
-    return drop_all_null(df.select(*keys, subject, address, *attributes).unionByName(alone), attributes)
+    single = records.groupBy(*keys, subject).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    of = single.groupBy(*keys).agg(F.sort_array(F.collect_set(subject)).alias("_subjects"))
+    match = lambda t, cols: [F.col(f"l.{c}").eqNullSafe(F.col(f"{t}.{c}")) for c in cols]
+    marked = df.alias("l").join(single.alias("s"), match("s", [*keys, subject]), "left").join(of.alias("o"), match("o", keys), "left")
+    alone = F.col("s._n").isNotNull()
+    own = lambda c: F.col(f"l.{c}")
+    out = marked.select(
+        *[own(k) for k in keys],
+        F.concat(F.lit(SUBJECT_PREFIX), F.when(alone, F.array_join("o._subjects", ", ")).otherwise(own(subject).cast("string"))).alias(subject),
+        F.concat(F.lit(ADDRESS_PREFIX), F.when(alone, F.lit(NO_ADDRESS_TAG)).otherwise(own(address).cast("string"))).alias(address),
+        F.when(alone, F.lit(NO_ADDRESS)).otherwise(own(attributes[0])).alias(attributes[0]),
+        *[own(a) for a in attributes[1:]],
+    )
+    return drop_all_null(out.distinct(), attributes)
 
 
 def first_of_group(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:

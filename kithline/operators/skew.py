@@ -6,25 +6,29 @@ then on the much smaller table of cells.  No operator here collects a key's rows
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells a group is split into when its members are ranked; a cell holds about 1/SALTS of a hot group.
-SALTS = 256
+#: Rows that one cell holds, about, when the members of a group are ranked; the number of cells follows from the number of rows.
+CELL_ROWS = 200_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is spark.checkpoint.dir; only where a session has none (tests, local mode) is a
-    temporary one set.  The files survive the loss of executors, unlike local checkpoints.
+    The folder is spark.checkpoint.dir.  A session without one gets a temporary folder if it runs within one process (master local[...]); on a
+    cluster that is an error, as executors couldn't share it.  The files survive the loss of executors, unlike local checkpoints.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kithline-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kithline-"))
     return df.checkpoint(eager=True)
 
 
@@ -33,13 +37,14 @@ def unit_hash(key: Column | str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key), F.lit(1 << 48)) / F.lit(float(1 << 48))
 
 
-def distributed_rank(df: DataFrame, group: Sequence[str], draw: str, tie: str, out: str, cells: int = SALTS) -> DataFrame:
+def distributed_rank(df: DataFrame, group: Sequence[str], draw: str, tie: str, out: str, cells: int | None = None) -> DataFrame:
     """Number the rows of each group 1..n by ascending (draw, tie) without sorting a whole group in one task.
 
-    draw is a column in [0, 1), evenly spread (a hash).  The group is cut into `cells` ranges of draw; the
-    cells' counts give each cell's offset, and only rows within one cell are sorted together.
+    draw is a column in [0, 1), evenly spread (a hash).  The group is cut into `cells` ranges of draw, by default one for each CELL_ROWS rows
+    of the table; the cells' counts give each cell's offset, and only rows within one cell are sorted together.
     Null group keys form a group of their own.  An empty table gives an empty table.
     """
+    cells = cells or max(1, -(-df.count() // CELL_ROWS))
     c, off = f"_cell_{out}", f"_off_{out}"
     keyed = df.withColumn(c, F.floor(F.col(draw) * cells).cast("int"))
     counts = keyed.groupBy(*group, c).agg(F.count(F.lit(1)).alias("_n"))
@@ -80,21 +85,54 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, left_sums:
 def distinct_per_key(df: DataFrame, key: str, sets: dict[str, Sequence[str]]) -> DataFrame:
     """Exact numbers of distinct value tuples per key: {result name: columns}; nulls count as a value.
 
-    Level one removes repetitions on (key, values), which spreads a hot key over all tasks; level two counts
-    what is left with a partial aggregate.  The plain form, countDistinct of several sets, would expand every
-    row once per set as well, but carry the values of a hot key to one task.
+    Every tuple is its 128-bit digest.  Level one removes repetitions of (key, all digests that a row needs), with partial aggregation, so a hot
+    key is spread over all tasks and each row is carried once, whatever the number of sets.  Level two removes, from what is left, the repetitions
+    of each set by itself; a set that holds all digests is counted at level one already.  Level three counts with partial aggregates.
     """
-    kinds = [F.struct(F.lit(n).alias("_set"), F.xxhash64(*cols).alias("_h1"), F.md5(F.to_json(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]))).alias("_h2")) for n, cols in sets.items()]
-    rows = df.select(key, F.inline(F.array(*kinds))).distinct()
-    return rows.groupBy(key).agg(*[F.count(F.when(F.col("_set") == n, 1)).alias(n) for n in sets])
-
-
-def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    parts: list[list[str]] = []  # columns that no set takes apart share a digest
+    for c in every:
+        mates = [p for p in parts if all((c in cols) == (p[0] in cols) for cols in sets.values())]
+        if mates:
+            mates[0].append(c)
+        else:
+            parts.append([c])
+    # a null differs from every text, as each value comes with whether it is one
+    digest = lambda k, cols: F.struct(*[F.xxhash64(F.lit(k), *[x for c in cols for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]).alias(f"h{k}") for k in (1, 2)])
+    names = [f"_p{i}" for i in range(len(parts))]
+    tuples = df.select(F.col(f"`{key}`").alias(key), *[digest(1, p).alias(n) for n, p in zip(names, parts)]).groupBy(key, *names).agg(F.lit(1).alias("_once"))
+    of = {n: [x for x, p in zip(names, parts) if p[0] in cols] for n, cols in sets.items()}
+    whole = [n for n, p in of.items() if len(p) == len(names)]
+    some = {n: p for n, p in of.items() if len(p) < len(names)}
+    tagged = [F.struct(F.lit(i).alias("_set"), *[(F.col(x) if x in p else F.lit(None).cast("struct<h1:bigint,h2:bigint>")).alias(x) for x in names]) for i, p in enumerate(some.values())]
+    counts = tuples.groupBy(key).agg(F.count(F.lit(1)).alias("_all")).select(F.col(key).alias("_k"), *[F.col("_all").alias(n) for n in whole])
+    if not some:
+        return counts.withColumnRenamed("_k", key).select(key, *sets)
+    single = tuples.select(key, F.inline(F.array(*tagged))).distinct().groupBy(key).agg(*[F.count(F.when(F.col("_set") == i, 1)).alias(n) for i, n in enumerate(some)])
+    return single.join(counts, F.col(key).eqNullSafe(F.col("_k"))).select(key, *sets)
+
+
+def hot_keys(df: DataFrame, key: str, share: float, *, nulls: bool = False) -> DataFrame:
     """Keys that hold at least `share` of all rows, with their count; at most 1/share keys can qualify.
 
-    Null keys count among all rows but are never returned.  An empty table has no hot keys.
+    Null keys count among all rows; nulls: the null key is returned, too, if it is hot.  An empty table has no hot keys.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    hot = counts.where(F.col(key).isNotNull()).join(F.broadcast(total), F.col("_n") >= F.col("_total") * share)
+    hot = (counts if nulls else counts.where(F.col(key).isNotNull())).join(F.broadcast(total), F.col("_n") >= F.col("_total") * share)
     return hot.select(key, F.col("_n").alias("n_rows"), (F.col("_n") / F.col("_total")).alias("share"))
+
+
+def running_sums(df: DataFrame, order: Column, sums: dict[str, str]) -> DataFrame:
+    """df with running sums along an order of distinct values: {new column: summed column}, without a window over the whole table in one task.
+
+    The rows are partitioned by range of the order; partitions, of which there are few, are summed, and each gets the sum of those before it.
+    Only rows of one partition are sorted together.  An empty table stays empty.
+    """
+    ranged = cut_lineage(df.withColumn("_o", order).repartitionByRange("_o").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    offsets = parts.select(F.col("_part").alias("_q"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.withColumns({f"_i_{n}": F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(offsets), F.col("_part") == F.col("_q"))
+    return run.select(*[f"`{c}`" for c in df.columns], *[(F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])

@@ -11,7 +11,7 @@ from kithline.functions import distance as D
 from kithline.functions import text
 from kithline.operators import evaluate, features, pairs, prepare, reshape, sampling, skew
 from kithline.plans import pipeline
-from kithline.plans.model import NameMatcher
+from kithline.plans.model import GRIDS, NameMatcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,9 +41,12 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT phone_number FROM ml_data WHERE phone_number IS NOT NULL GROUP BY phone_number HAVING count(*) * 50 >= (SELECT count(*) FROM ml_data)")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    per_phone = skew.eager_join_aggregate(table(spark, d, "ml_data"), _names(spark, d), "phone_number", {}, {})
-    total = table(spark, d, "ml_data").agg(F.count(F.lit(1)).alias("total"))
-    return per_phone.join(F.broadcast(total), F.col("left_rows") * 50 >= F.col("total")).select("phone_number")
+    """Rows of ml_data for each number of the directory of all phones, one row per number, by eager aggregation on both sides of the join."""
+    ml = table(spark, d, "ml_data")
+    directory = _names(spark, d).select("phone_number").unionByName(ml.select("phone_number")).distinct()
+    per_phone = skew.eager_join_aggregate(ml, directory, "phone_number", {}, {}, how="inner")
+    total = ml.agg(F.count(F.lit(1)).alias("total"))
+    return per_phone.join(F.broadcast(total), F.col("join_rows") * 50 >= F.col("total")).select("phone_number")
 
 
 @query("""
@@ -67,17 +70,19 @@ def p3_per_phone(spark: SparkSession, d: str) -> DataFrame:
 _SIX = [f"{p}_name{i}" for p in ("first", "middle", "last") for i in (1, 2)]
 
 
-def _ascii(c: str):
-    return F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")
+#: The letters beyond ASCII in the test tables, in place of which the SQL has control characters where an engine counts bytes.
+_WIDE = {"\u00a0": 1, "\u2010": 2, "\u2019": 3}
 
 
 def _pairs(spark: SparkSession, d: str, name: str = "ml_data") -> DataFrame:
-    """Pairs with names in lower-case ASCII letters and digits, over which both engines count letters alike."""
-    return table(spark, d, name).withColumns({c: _ascii(c) for c in _SIX})
+    """Pairs with names in lower case, otherwise as they stand."""
+    return table(spark, d, name).withColumns({c: F.lower(c) for c in _SIX})
 
 
-def _pairs_sql(name: str = "ml_data") -> str:
-    return f"(SELECT * REPLACE ({', '.join(f'''regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g') AS {c}''' for c in _SIX)}) FROM {name})"
+def _pairs_sql(name: str = "ml_data", *, coded: bool = True) -> str:
+    """The same in SQL; coded: each wide letter is one byte, which keeps all distances."""
+    wide, narrow = "||".join(f"chr({ord(c)})" for c in _WIDE), "||".join(f"chr({n})" for n in _WIDE.values())
+    return f"(SELECT * REPLACE ({', '.join(f'translate(lower({c}), {wide}, {narrow}) AS {c}' if coded else f'lower({c}) AS {c}' for c in _SIX)}) FROM {name})"
 
 
 _SCORED = f"""(SELECT *, round_even(1 - d1 / nullif(n1, 0)::DOUBLE, 1) AS str_dist1, round_even(1 - d2 / nullif(n2, 0)::DOUBLE, 1) AS str_dist2, round_even(1 - (d1 + d2) / nullif(n1 + n2, 0)::DOUBLE, 1) AS str_dist_all
@@ -163,21 +168,50 @@ def unpivot_subject_addresses(spark: SparkSession, d: str) -> DataFrame:
     return reshape.unpivot_groups(t, ["pair_id"], reshape.subject_addresses(t.columns), ["tu_subject", "tu_address"])
 
 
-_ADDRESSES = """(SELECT phone_number, first_name, last_name, 'subject' || (1 + name_id % 2) AS tu_subject, '1-' || (1 + name_id % 3) AS tu_address, CASE WHEN first_seen IS NULL OR name_id % 4 = 0 THEN NULL ELSE 'since ' || year(first_seen) END AS full_address, CAST(last_seen AS VARCHAR) AS date_last_seen FROM name2)"""
+_ADDRESSES = """(SELECT phone_number, first_name, last_name, 1 + name_id % 2 AS tu_subject, 1 + name_id % 3 AS tu_address, CASE WHEN first_seen IS NULL OR name_id % 4 = 0 THEN NULL ELSE 'since ' || year(first_seen) END AS full_address, CAST(last_seen AS VARCHAR) AS date_last_seen FROM name2)"""
 
 
 @query(f"""WITH t AS {_ADDRESSES}, r AS (SELECT DISTINCT phone_number, first_name, last_name, tu_subject, full_address, date_last_seen FROM t),
-    s AS (SELECT phone_number, first_name, last_name, min(tu_subject) AS tu_subject FROM r GROUP BY 1, 2, 3 HAVING count(*) = 1)
-    SELECT phone_number, first_name, last_name, tu_subject, tu_address, full_address, date_last_seen FROM t WHERE full_address IS NOT NULL OR date_last_seen IS NOT NULL
-    UNION ALL SELECT phone_number, first_name, last_name, tu_subject, '1-10', '**No Address Information Provided**', NULL FROM s""")
+    s AS (SELECT phone_number, first_name, last_name, tu_subject FROM r GROUP BY ALL HAVING count(*) = 1),
+    n AS (SELECT *, string_agg(tu_subject, ', ' ORDER BY tu_subject) OVER (PARTITION BY phone_number, first_name, last_name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM s),
+    j AS (SELECT t.*, n.l FROM t LEFT JOIN n ON t.phone_number IS NOT DISTINCT FROM n.phone_number AND t.first_name IS NOT DISTINCT FROM n.first_name AND t.last_name IS NOT DISTINCT FROM n.last_name AND t.tu_subject = n.tu_subject)
+    SELECT * FROM (SELECT DISTINCT phone_number, first_name, last_name, 'tu_subject' || coalesce(l, tu_subject::VARCHAR) AS tu_subject, 'tu_address' || CASE WHEN l IS NULL THEN tu_address::VARCHAR ELSE '1-10' END AS tu_address,
+    CASE WHEN l IS NULL THEN full_address ELSE '**No Address Information Provided for this Phone Number and Name**' END AS full_address, date_last_seen FROM j) WHERE full_address IS NOT NULL OR date_last_seen IS NOT NULL""")
 def address_sentinel(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "name2").select(
-        "phone_number", "first_name", "last_name", F.concat(F.lit("subject"), (1 + F.col("name_id") % 2).cast("string")).alias("tu_subject"), F.concat(F.lit("1-"), (1 + F.col("name_id") % 3).cast("string")).alias("tu_address"),
+        "phone_number", "first_name", "last_name", (1 + F.col("name_id") % 2).alias("tu_subject"), (1 + F.col("name_id") % 3).alias("tu_address"),
         F.when(F.col("first_seen").isNotNull() & (F.col("name_id") % 4 != 0), F.concat(F.lit("since "), F.year("first_seen").cast("string"))).alias("full_address"), F.col("last_seen").cast("string").alias("date_last_seen"),
     )
     return reshape.address_sentinel(t, ["phone_number", "first_name", "last_name"], "tu_subject", "tu_address", ["full_address", "date_last_seen"])
 
 
+_CLEAN_NAME = "regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g')"
+
+
+def _names_sql(source: str) -> str:
+    """Distinct names of both sides of the pairs, without the texts that stand for a missing value."""
+    given = lambda c: _NA_SQL.format(c).rsplit(" AS ", 1)[0]
+    each = " UNION ALL ".join(f"SELECT phone_number, {given(f'first_name{i}')} AS f, {given(f'middle_name{i}')} AS m, {given(f'last_name{i}')} AS l FROM {source}" for i in (1, 2))
+    return f"SELECT DISTINCT phone_number, {_CLEAN_NAME.format('f')} AS first_name, {_CLEAN_NAME.format('m')} AS middle_name, {_CLEAN_NAME.format('l')} AS last_name FROM ({each}) WHERE f IS NOT NULL AND l IS NOT NULL"
+
+
+@query(_names_sql("ml_data"))
+def names_clean_mcr(spark: SparkSession, d: str) -> DataFrame:
+    """A raw feed of listings with camel-case headers and an apostrophe before each phone, from raw columns to names."""
+    t = table(spark, d, "ml_data")
+    wide = {f"iPhoneListing{i}{p.title()}Name": F.col(f"{p}_name{i}") for i in (1, 2) for p in ("first", "middle", "last")} | {"iPhoneListing1LastSeen": F.date_format("made_at", "MM/dd/yyyy"), "iPhoneListing2City": F.lit("-")}
+    return pipeline.clean_mcr(t.select(F.col("pair_id").cast("string").alias("iKey"), F.concat(F.lit("'"), F.col("phone_number").cast("string")).alias("iPhone"), *[c.alias(n) for n, c in wide.items()]))
+
+
+@query(_names_sql("ml_data"))
+def names_clean_tu(spark: SparkSession, d: str) -> DataFrame:
+    """A raw feed of subjects with addresses, from raw columns to names."""
+    t = table(spark, d, "ml_data")
+    wide = {f"TloSubject{i}Name{p.title()}Name": F.col(f"{p}_name{i}") for i in (1, 2) for p in ("first", "middle", "last")}
+    wide |= {f"TloSubject{i}Address{a}FullAddress": F.lit("NULL") if a == 2 else F.col("phone_number").cast("string") for i in (1, 2) for a in (1, 2)} | {"TloSubject1Address1DateFirstSeen": F.date_format("made_at", "MM/dd/yyyy")}
+    return pipeline.clean_tu(t.select(F.col("phone_number").cast("string").alias("Phonenumber"), *[c.alias(n) for n, c in wide.items()]))
+
+
 @query("""SELECT doc_id, CAST(try_strptime(t, '%m/%d/%Y') AS DATE) AS parsed FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'n/a' WHEN doc_id % 11 = 0 THEN '13/45/1890' ELSE strftime(issue_date, '%m/%d/%Y') END AS t FROM documents)""")
 def date_parse(spark: SparkSession, d: str) -> DataFrame:
     t = F.when(F.col("doc_id") % 7 == 0, "n/a").when(F.col("doc_id") % 11 == 0, "13/45/1890").otherwise(F.date_format("issue_date", "MM/dd/yyyy"))
@@ -192,21 +226,41 @@ def phone_union_distinct(spark: SparkSession, d: str) -> DataFrame:
     return pairs.mask_map([table(spark, d, f"name{i}") for i in (1, 2, 3)], "phone_number", "salt").select("phone_number")
 
 
-@query(f"SELECT name_id, m.masked FROM name1 LEFT JOIN (SELECT phone_number, 1000000000 + (phone_number * 7919 + 13) % 8999999993 AS masked FROM {_PHONES} WHERE phone_number IS NOT NULL) m USING (phone_number)")
+def _digest_sql(n: int, value: str, size: int) -> str:
+    return f"(('0x' || substr(md5('salt/{n}/' || {value}), 1, 12))::BIGINT % {size})"
+
+
+#: The permutation of ten-digit keys step by step, each round shifting one half by a digest of the other.
+_MASKED_SQL = f"""(SELECT phone_number, CASE WHEN phone_number BETWEEN 1000000000 AND 9999999999 THEN (h2 + 10000) * 100000 + l2 ELSE 1000000000 + {_digest_sql(4, 'phone_number', 9_000_000_000)} END AS masked FROM (
+    SELECT *, (h1 + {_digest_sql(3, 'l2', 90_000)}) % 90000 AS h2 FROM (SELECT *, (l1 + {_digest_sql(2, 'h1', 100_000)}) % 100000 AS l2 FROM (
+    SELECT *, (h0 + {_digest_sql(1, 'l1', 90_000)}) % 90000 AS h1 FROM (SELECT *, (l0 + {_digest_sql(0, 'h0', 100_000)}) % 100000 AS l1 FROM (
+    SELECT phone_number, phone_number // 100000 - 10000 AS h0, phone_number % 100000 AS l0 FROM {_PHONES} WHERE phone_number IS NOT NULL))))))"""
+
+
+def _masks(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.mask_map([table(spark, d, f"name{i}") for i in (1, 2, 3)], "phone_number", "salt")
+
+
+@query(f"SELECT name_id, m.masked AS phone_number FROM name1 LEFT JOIN {_MASKED_SQL} m USING (phone_number)")
 def mask_join(spark: SparkSession, d: str) -> DataFrame:
-    every = pairs.mask_map([table(spark, d, f"name{i}") for i in (1, 2, 3)], "phone_number", "salt").select("phone_number", (1000000000 + (F.col("phone_number") * 7919 + 13) % 8999999993).alias("masked"))
-    return table(spark, d, "name1").join(every, "phone_number", "left").select("name_id", "masked")
+    return pairs.apply_mask(table(spark, d, "name1").select("name_id", "phone_number"), _masks(spark, d), "phone_number")
 
 
-@query()
+@query(f"SELECT * FROM {_MASKED_SQL}")
 def mask_hashed(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.mask_map([table(spark, d, f"name{i}") for i in (1, 2, 3)], "phone_number", "salt")
+    """The map with its checks: no mask is its own key or another's."""
+    return pairs.checked_mask_map(_masks(spark, d), "phone_number")
+
+
+@query("SELECT n_keys, count(*) AS n FROM (SELECT 1 AS n_keys) WHERE n_keys > 1 GROUP BY 1")
+def mask_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.mask_collisions(_masks(spark, d)).groupBy("n_keys").agg(F.count(F.lit(1)).alias("n"))
 
 
 _FULL_SQL = "regexp_replace(replace(coalesce(first_name{i}, '') || ' ' || coalesce(nullif(regexp_replace(middle_name{i}, '^\\s+|\\s+$', '', 'g'), ''), ' ') || ' ' || coalesce(last_name{i}, ''), '  ', ''), '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f"SELECT pair_id, {_FULL_SQL.format(i=1)} AS full_name1, {_FULL_SQL.format(i=2)} AS full_name2 FROM {_pairs_sql()}")
+@query(f"SELECT pair_id, {_FULL_SQL.format(i=1)} AS full_name1, {_FULL_SQL.format(i=2)} AS full_name2 FROM {_pairs_sql(coded=False)}")
 def full_name(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("pair_id", *[text.full_name(f"first_name{i}", f"middle_name{i}", f"last_name{i}").alias(f"full_name{i}") for i in (1, 2)])
 
@@ -266,6 +320,14 @@ _similarity("qgram", f"SELECT pair_id, 1 - d / {_L} AS value FROM {_AB} LEFT JOI
 _similarity("cosine", f"SELECT pair_id, CASE WHEN {_L} IS NOT NULL THEN coalesce(v, 0) END AS value FROM {_AB} LEFT JOIN (SELECT a, b, sum(ca * cb) / nullif(sqrt(sum(ca * ca) * sum(cb * cb)), 0) AS v FROM {_COUNTS} GROUP BY 1, 2) USING (a, b)")
 _similarity("jaccard", f"SELECT pair_id, CASE WHEN length(a) > 0 AND length(b) > 0 THEN jaccard(a, b) WHEN length(a) + length(b) > 0 THEN 0 END AS value FROM {_AB}")
 _similarity("jw_floor", f"SELECT pair_id, jaro_similarity(a, b) AS value FROM {_AB}")
+_JARO_SQL = f"""WITH RECURSIVE ja AS (
+    SELECT a, b, 0 AS i, '' AS ma, list_transform(range(0, length(b)), lambda k: false) AS used FROM {_DISTINCT_AB}
+    UNION ALL
+    SELECT a, b, i + 1, CASE WHEN j IS NULL THEN ma ELSE ma || substr(a, i + 1, 1) END, list_transform(used, lambda u, k: u OR (j IS NOT NULL AND k = j))
+    FROM (SELECT *, list_filter(range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1), lambda k: NOT used[k] AND substr(b, k::BIGINT, 1) = substr(a, i + 1, 1))[1] AS j FROM (SELECT *, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach FROM ja WHERE i < length(a))))
+    SELECT a, b, CASE WHEN ma = '' THEN 0 ELSE (m / length(a) + m / length(b) + (m - len(list_filter(range(1, length(ma) + 1), lambda k: substr(ma, k::BIGINT, 1) <> mb[k])) / 2) / m) / 3 END AS v
+    FROM (SELECT a, b, ma, length(ma)::DOUBLE AS m, list_transform(list_filter(range(1, length(b) + 1), lambda k: used[k]), lambda k: substr(b, k::BIGINT, 1)) AS mb FROM ja WHERE i = length(a))"""
+_similarity("jw", f"SELECT pair_id, v AS value FROM {_AB} LEFT JOIN ({_JARO_SQL}) USING (a, b)")
 _similarity("hamming", f"SELECT pair_id, CASE WHEN length(a) = length(b) THEN CASE WHEN length(a) = 0 THEN 0 ELSE hamming(a, b) END END AS value FROM {_AB}")
 
 
@@ -285,24 +347,25 @@ _similarity("soundex", f"""WITH codes AS MATERIALIZED (SELECT t, {_soundex_sql('
     FROM (SELECT pair_id, p.code AS x, q.code AS y FROM {_AB} LEFT JOIN codes p ON p.t = a LEFT JOIN codes q ON q.t = b)""")
 
 
-@query()
-def dist_matrix_54(spark: SparkSession, d: str) -> DataFrame:
-    out = _pairs(spark, d, "ml_data_rvw").withColumns({f"full_name{i}": text.full_name(f"first_name{i}", f"middle_name{i}", f"last_name{i}") for i in (1, 2)})
-    for a, b, _ in features.COLUMN_PAIRS:
-        out = features.name_stringdist(out, a, b)
-    return out.select("review_id", *[c for c in out.columns if c.endswith(("_pct", "_soundex_cat"))])
-
-
-_MATRIX = [("lv", "1 - levenshtein({a}, {b}) / nullif(greatest(length({a}), length({b})), 0)::DOUBLE"), ("dl", "1 - damerau_levenshtein({a}, {b}) / nullif(greatest(length({a}), length({b})), 0)::DOUBLE"), ("jaccard", "CASE WHEN length({a}) > 0 AND length({b}) > 0 THEN jaccard({a}, {b}) WHEN length({a}) + length({b}) > 0 THEN 0 END")]
+_FULL_RVW = f"(SELECT *, {_FULL_SQL.format(i=1)} AS full_name1, {_FULL_SQL.format(i=2)} AS full_name2 FROM {_pairs_sql('ml_data_rvw')})"
+_TEXTS = "(SELECT DISTINCT a, b FROM texts WHERE a IS NOT NULL AND b IS NOT NULL)"
+_LETTERS = f"(SELECT a, b, c, sum(s) AS ca, sum(t) AS cb FROM (SELECT a, b, unnest(string_split(a, '')) AS c, 1 AS s, 0 AS t FROM {_TEXTS} UNION ALL SELECT a, b, unnest(string_split(b, '')) AS c, 0, 1 FROM {_TEXTS}) WHERE c <> '' GROUP BY 1, 2, 3)"
+#: Each distinct pair of texts once, with all similarities; t has the rows.
+_ALIKE_CTE = f"""t AS MATERIALIZED (SELECT * FROM {_FULL_RVW}), texts AS MATERIALIZED ({' UNION '.join(f'SELECT {a} AS a, {b} AS b FROM t' for a, b, _ in features.COLUMN_PAIRS)}),
+    alike AS MATERIALIZED (SELECT a, b, 1 - o.d / {_L} AS osa, 1 - levenshtein(a, b) / {_L} AS lv, 1 - damerau_levenshtein(a, b) / {_L} AS dl, 1 - c.d / {_L} AS lcs, 1 - q.d / {_L} AS qgram, CASE WHEN {_L} IS NOT NULL THEN coalesce(q.v, 0) END AS cosine,
+        CASE WHEN length(a) > 0 AND length(b) > 0 THEN jaccard(a, b) WHEN length(a) + length(b) > 0 THEN 0 END AS jaccard, j.v AS jw, CASE WHEN x.code IS NOT NULL AND y.code IS NOT NULL THEN ['No Match', 'Weak Match', 'Weak Similar Match', 'Similar Match', 'Strong Match'][1 + {_EQUAL.replace('substr(x,', 'substr(x.code,').replace('substr(y,', 'substr(y.code,')}] END AS soundex
+        FROM {_TEXTS} LEFT JOIN ({_dp_sql(_OSA_CELL, _TEXTS)}) o USING (a, b) LEFT JOIN ({_dp_sql(_LCS_CELL, _TEXTS)}) c USING (a, b)
+        LEFT JOIN (SELECT a, b, sum(abs(ca - cb)) AS d, sum(ca * cb) / nullif(sqrt(sum(ca * ca) * sum(cb * cb)), 0) AS v FROM {_LETTERS} GROUP BY 1, 2) q USING (a, b) LEFT JOIN ({_JARO_SQL.replace(_DISTINCT_AB, _TEXTS)}) j USING (a, b)
+        LEFT JOIN (SELECT w, {_soundex_sql('w')} AS code FROM (SELECT a AS w FROM texts UNION SELECT b FROM texts)) x ON x.w = a LEFT JOIN (SELECT w, {_soundex_sql('w')} AS code FROM (SELECT a AS w FROM texts UNION SELECT b FROM texts)) y ON y.w = b)"""
+_MATRIX_COLS = ", ".join(f"m{i}.{m} AS {a}_{b}_{'soundex_cat' if m == 'soundex' else m + '_pct'}" for i, (a, b, _) in enumerate(features.COLUMN_PAIRS) for m in D.METHODS)
+_MATRIX_JOINS = " ".join(f"LEFT JOIN alike m{i} ON m{i}.a = t.{a} AND m{i}.b = t.{b}" for i, (a, b, _) in enumerate(features.COLUMN_PAIRS))
 
 
-@query("SELECT review_id, " + ", ".join(f"{x.format(a=a, b=b)} AS {a}_{b}_{m}_pct" for a, b, _ in features.COLUMN_PAIRS for m, x in _MATRIX) + f" FROM (SELECT *, {_FULL_SQL.format(i=1)} AS full_name1, {_FULL_SQL.format(i=2)} AS full_name2 FROM {_pairs_sql('ml_data_rvw')})")
-def dist_matrix_sql(spark: SparkSession, d: str) -> DataFrame:
-    """The methods of the matrix that SQL has, for all column pairs."""
+@query(f"WITH {_ALIKE_CTE} SELECT t.review_id, {_MATRIX_COLS} FROM t {_MATRIX_JOINS}")
+def dist_matrix_54(spark: SparkSession, d: str) -> DataFrame:
     out = _pairs(spark, d, "ml_data_rvw").withColumns({f"full_name{i}": text.full_name(f"first_name{i}", f"middle_name{i}", f"last_name{i}") for i in (1, 2)})
-    for a, b, _ in features.COLUMN_PAIRS:
-        out = features.name_stringdist(out, a, b, [m for m, _ in _MATRIX])
-    return out.select("review_id", *[f"{a}_{b}_{m}_pct" for a, b, _ in features.COLUMN_PAIRS for m, _ in _MATRIX])
+    out = features.stringdist_matrix(out, features.COLUMN_PAIRS)
+    return out.select("review_id", *[c for c in out.columns if c.endswith(("_pct", "_soundex_cat"))])
 
 
 @query(f"""SELECT pair_id, least(length(a), length(b)) < 3 AND substr(a, 1, least(length(a), length(b))) = substr(b, 1, least(length(a), length(b))) AS initial, length(a) > 3 AND length(b) > 3 AND (contains(a, b) OR contains(b, a)) AS detect, substr(a, 1, 1) = substr(b, 1, 1) AS first_char
@@ -314,7 +377,7 @@ def token_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 # --- name pieces ---
 
-_PIECE_SOURCE = f"(SELECT review_id AS id, {_CLEAN_SQL.format('a')} AS a, {_CLEAN_SQL.format('b')} AS b FROM (SELECT review_id, first_name1 || ' ' || last_name1 AS a, first_name2 || ' ' || last_name2 AS b FROM {_pairs_sql('ml_data_rvw')}))"
+_PIECE_SOURCE = f"(SELECT review_id AS id, {_CLEAN_SQL.format('a')} AS a, {_CLEAN_SQL.format('b')} AS b FROM (SELECT review_id, first_name1 || ' ' || last_name1 AS a, first_name2 || ' ' || last_name2 AS b FROM {_pairs_sql('ml_data_rvw', coded=False)}))"
 
 
 def _piece_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -322,8 +385,12 @@ def _piece_rows(spark: SparkSession, d: str) -> DataFrame:
     return t.select("review_id", F.concat("first_name1", F.lit(" "), "last_name1").alias("a"), F.concat("first_name2", F.lit(" "), "last_name2").alias("b"))
 
 
-_TOKENS = f"""(SELECT id, side, pos, val FROM (SELECT id, 1 AS side, unnest(string_split(a, ' ')) AS val, generate_subscripts(string_split(a, ' '), 1) AS pos FROM {_PIECE_SOURCE}
-    UNION ALL SELECT id, 2, unnest(string_split(b, ' ')), generate_subscripts(string_split(b, ' '), 1) FROM {_PIECE_SOURCE}) WHERE val <> '')"""
+def _tokens_sql(source: str) -> str:
+    return f"""(SELECT id, side, pos, val FROM (SELECT id, 1 AS side, unnest(string_split(a, ' ')) AS val, generate_subscripts(string_split(a, ' '), 1) AS pos FROM {source}
+    UNION ALL SELECT id, 2, unnest(string_split(b, ' ')), generate_subscripts(string_split(b, ' '), 1) FROM {source}) WHERE val <> '')"""
+
+
+_TOKENS = _tokens_sql(_PIECE_SOURCE)
 
 
 @query(f"SELECT id AS review_id, side, pos, val FROM {_TOKENS}")
@@ -340,27 +407,33 @@ def piece_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.where("val1 <> '' and val2 <> ''").select("review_id", (F.col("p") + 1).cast("long").alias("pos1"), "val1", (F.col("q") + 1).cast("long").alias("pos2"), "val2")
 
 
-_PIECES_SQL = f"""
-    WITH t AS MATERIALIZED (SELECT * FROM {_TOKENS}), o AS MATERIALIZED (SELECT x.id, x.pos AS p1, x.val AS v1, y.pos AS p2, y.val AS v2 FROM t x JOIN t y ON x.id = y.id AND x.side = 1 AND y.side = 2),
+def _pieces_cte(source: str) -> str:
+    """pieces: id and the six features of each row of a source of (id, a, b), both cleaned."""
+    return f"""k AS MATERIALIZED (SELECT * FROM {_tokens_sql(source)}), o AS MATERIALIZED (SELECT x.id, x.pos AS p1, x.val AS v1, y.pos AS p2, y.val AS v2 FROM k x JOIN k y ON x.id = y.id AND x.side = 1 AND y.side = 2),
     dist AS MATERIALIZED ({_dp_sql(_OSA_CELL, "(SELECT DISTINCT v1 AS a, v2 AS b FROM o)")}),
     m AS (SELECT o.*, d / greatest(length(v1), length(v2))::DOUBLE AS sd FROM o JOIN dist ON a = v1 AND b = v2),
     g1 AS (SELECT * FROM m QUALIFY sd = min(sd) OVER (PARTITION BY id, v1)), g2 AS (SELECT * FROM g1 QUALIFY sd = min(sd) OVER (PARTITION BY id, v2)),
     g3 AS (SELECT * FROM g2 QUALIFY row_number() OVER (PARTITION BY id, v1 ORDER BY p1, p2) = 1), g4 AS (SELECT * FROM g3 QUALIFY row_number() OVER (PARTITION BY id, v2 ORDER BY p1, p2) = 1),
     s AS (SELECT id, sum(CASE WHEN least(length(v1), length(v2)) < 3 AND substr(v1, 1, least(length(v1), length(v2))) = substr(v2, 1, least(length(v1), length(v2))) THEN 1 ELSE 0 END) AS f, 1 - avg(sd) AS sd, sum(CASE WHEN length(v1) > 3 AND length(v2) > 3 AND (contains(v1, v2) OR contains(v2, v1)) THEN 1 ELSE 0 END) AS de, sum(CASE WHEN v1 = v2 THEN 1 ELSE 0 END) AS ex FROM g4 GROUP BY id),
-    n AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE length(a) - length(replace(a, ' ', '')) + 1 END AS n1, CASE WHEN b IS NULL THEN 0 ELSE length(b) - length(replace(b, ' ', '')) + 1 END AS n2 FROM {_PIECE_SOURCE})
-    SELECT n.id AS review_id, n1 AS fn_name_count1, n2 AS fn_name_count2, CASE WHEN n1 > 1 OR n2 > 1 THEN f END AS fn_f_initial_match, CASE WHEN n1 > 1 OR n2 > 1 THEN sd END AS fn_strdist, CASE WHEN n1 > 1 OR n2 > 1 THEN de END AS fn_detect, CASE WHEN n1 > 1 OR n2 > 1 THEN ex END AS fn_exact_match
-    FROM n LEFT JOIN s USING (id)"""
+    n AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE length(a) - length(replace(a, ' ', '')) + 1 END AS n1, CASE WHEN b IS NULL THEN 0 ELSE length(b) - length(replace(b, ' ', '')) + 1 END AS n2 FROM {source}),
+    pieces AS MATERIALIZED (SELECT n.id, n1 AS name_count1, n2 AS name_count2, CASE WHEN n1 > 1 OR n2 > 1 THEN f END AS f_initial_match, CASE WHEN n1 > 1 OR n2 > 1 THEN sd END AS strdist, CASE WHEN n1 > 1 OR n2 > 1 THEN de END AS detect, CASE WHEN n1 > 1 OR n2 > 1 THEN ex END AS exact_match
+    FROM n LEFT JOIN s USING (id))"""
 
 
-@query(_PIECES_SQL)
+@query(f"WITH {_pieces_cte(_PIECE_SOURCE)} SELECT id AS review_id, {', '.join(f'{p} AS fn_{p}' for p in features.PIECES)} FROM pieces")
 def piece_features(spark: SparkSession, d: str) -> DataFrame:
     return features.name_pieces(_piece_rows(spark, d), "a", "b", "fn").drop("a", "b")
 
 
-@query()
+_GROUP_SOURCE = "(" + " UNION ALL ".join(f"SELECT review_id * 6 + {i} AS id, {_CLEAN_SQL.format(a)} AS a, {_CLEAN_SQL.format(b)} AS b FROM t" for i, (a, b, _) in enumerate(features.COLUMN_PAIRS)) + ")"
+_GROUP_COLS = ", ".join(f"g{i}.{p} AS {g}_{p}" for i, (*_, g) in enumerate(features.COLUMN_PAIRS) for p in features.PIECES)
+_GROUP_JOINS = " ".join(f"LEFT JOIN pieces g{i} ON g{i}.id = t.review_id * 6 + {i}" for i in range(len(features.COLUMN_PAIRS)))
+
+
+@query(f"WITH {_ALIKE_CTE}, {_pieces_cte(_GROUP_SOURCE)} SELECT t.review_id, t.category, {_MATRIX_COLS}, {_GROUP_COLS} FROM t {_MATRIX_JOINS} {_GROUP_JOINS}")
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     t = _pairs(spark, d, "ml_data_rvw")
-    return features.feature_table(t.select("review_id", "category", *_SIX))
+    return features.feature_table(t.select("review_id", "category", *_SIX)).drop(*_SIX, "full_name1", "full_name2")
 
 
 # --- sampling, balancing, splits; draws by arithmetic, so that both engines agree ---
@@ -452,7 +525,7 @@ def score_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT sum(neg) OVER w / sum(neg) OVER ()::DOUBLE AS fpr, sum(pos) OVER w / sum(pos) OVER ()::DOUBLE AS tpr, 'edit' AS tp FROM (
-    SELECT round(prob, 9) AS p, sum(CASE WHEN category = 'Match' THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN category = 'Match' THEN 0 ELSE 1 END) AS neg FROM {_RVW_SQL} WHERE prob IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)""")
+    SELECT prob AS p, sum(CASE WHEN category = 'Match' THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN category = 'Match' THEN 0 ELSE 1 END) AS neg FROM {_RVW_SQL} WHERE prob IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)""")
 def roc_points(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.roc_points(_scored(spark, d), "prob", "category", name="edit")
 
@@ -475,27 +548,52 @@ def example_lists(spark: SparkSession, d: str) -> DataFrame:
 # --- models ---
 
 
-def _trained(spark: SparkSession, d: str, kinds: tuple[str, ...], folds: int = 3) -> tuple[NameMatcher, DataFrame]:
-    train, test = sampling.split_exact(table(spark, d, "ml_data_rvw").where("category in ('Match', 'No Match')"), key="review_id")
-    return NameMatcher.train(train, key="review_id", kinds=kinds, folds=folds), test
+#: Parameter maps that the queries try for each kind of model, and the seconds after which no further one is begun; the library's defaults are 500 and 1,800.
+MOST, BUDGET_S = 2, 10
+#: The cheap part of the search spaces, for the queries.
+CHEAP = GRIDS | {k: GRIDS[k] | {"numTrees": [5, 10, 25], "maxDepth": [10]} for k in ("RF", "DRF")} | {"GBM": GRIDS["GBM"] | {"maxIter": [5, 10], "maxDepth": [5]}, "NN": {"hidden": [(32, 32, 32), (64, 64)]}}
+ALL = ("RF", "GBM", "DRF", "NN", "GLM")
+_matchers: dict[tuple, NameMatcher] = {}
 
 
-def _model_query(name: str, kinds: tuple[str, ...]) -> None:
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return sampling.split_exact(table(spark, d, "ml_data_rvw").where("category in ('Match', 'No Match')"), key="review_id")
+
+
+def _trained(spark: SparkSession, d: str, kinds: tuple[str, ...]) -> NameMatcher:
+    """A session's queries share the models of the same tables and kinds."""
+    at = (spark.sparkContext.applicationId, d, kinds)
+    if at not in _matchers:
+        _matchers[at] = NameMatcher.train(_halves(spark, d)[0], key="review_id", kinds=kinds, most=MOST, budget_s=BUDGET_S, grids=CHEAP)
+    return _matchers[at]
+
+
+def _model_query(name: str, model: str, kinds: tuple[str, ...]) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        m, test = _trained(spark, d, kinds)
-        out = m.transform(test, model=kinds[0] if len(kinds) == 1 else "ENS")
+        out = _trained(spark, d, kinds).transform(_halves(spark, d)[1], model=model)
         return evaluate.confusion(out, "category", "decision", name)
 
     run.__name__ = name
     query()(run)
 
 
-for _n, _k in (("ml_lr", ("GLM",)), ("ml_rf", ("RF",)), ("ml_gbt", ("GBM",)), ("ml_mlp", ("NN",)), ("ml_stack", ("GLM", "RF", "GBM"))):
-    _model_query(_n, _k)
+for _n, _m, _k in (("ml_lr", "GLM", ("GLM",)), ("ml_rf", "RF", ALL), ("ml_gbt", "GBM", ALL), ("ml_drf", "DRF", ALL), ("ml_mlp", "NN", ALL), ("ml_stack", "ENS", ALL), ("ml_stack2", "ENS2", ALL)):
+    _model_query(_n, _m, _k)
+
+
+def _report_query(name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _trained(spark, d, ALL).reports(_halves(spark, d)[1])[name]
+
+    run.__name__ = f"ml_{name}"
+    query()(run)
+
+
+for _n in ("roc", "confusion", "predictions"):
+    _report_query(_n)
 
 
 @query()
 def name_match_e2e(spark: SparkSession, d: str) -> DataFrame:
     """The matcher, trained on the reviewed pairs, over all candidate pairs."""
-    m, _ = _trained(spark, d, ("GLM", "RF"))
-    return m.transform(table(spark, d, "ml_data")).select("pair_id", "prob", "decision")
+    return _trained(spark, d, ("GLM", "RF")).transform(table(spark, d, "ml_data")).select("pair_id", "prob", "decision")

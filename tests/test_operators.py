@@ -44,9 +44,20 @@ def test_reshape(spark):
 
 
 def test_address_sentinel(spark):
-    rows = [(1, "a", "s1", "1", None, None), (2, "b", "s1", "1", "road", None), (2, "b", "s1", "2", "lane", None), (None, "c", "s2", "1", None, None)]
-    out = reshape.address_sentinel(spark.createDataFrame(rows, "p int, n string, s string, t string, full string, seen string"), ["p", "n"], "s", "t", ["full", "seen"])
-    assert {(r.p, r.full) for r in out.collect()} == {(1, reshape.NO_ADDRESS), (2, "road"), (2, "lane"), (None, reshape.NO_ADDRESS)}
+    rows = [
+        (1, "a", 1, 1, None, None), (2, "b", 1, 1, "road", None), (2, "b", 1, 2, "lane", None), (None, "c", 2, 1, None, None),
+        # two subjects with one record each: both rows name both; a third with two records keeps them
+        (3, "d", 1, 1, "hill", "x"), (3, "d", 2, 4, None, None), (3, "d", 4, 1, "dale", None), (3, "d", 4, 2, None, None),
+        # the same record under two address tags is one record, and one row in the end
+        (4, "e", 5, 1, "moor", None), (4, "e", 5, 2, "moor", None),
+    ]
+    out = reshape.address_sentinel(spark.createDataFrame(rows, "p int, n string, s int, t int, full string, seen string"), ["p", "n"], "s", "t", ["full", "seen"])
+    none = reshape.NO_ADDRESS
+    assert none == "**No Address Information Provided for this Phone Number and Name**"
+    assert Counter((r.p, r.s, r.t, r.full, r.seen) for r in out.collect()) == Counter([
+        (1, "tu_subject1", "tu_address1-10", none, None), (2, "tu_subject1", "tu_address1", "road", None), (2, "tu_subject1", "tu_address2", "lane", None), (None, "tu_subject2", "tu_address1-10", none, None),
+        (3, "tu_subject1, 2", "tu_address1-10", none, "x"), (3, "tu_subject1, 2", "tu_address1-10", none, None), (3, "tu_subject4", "tu_address1", "dale", None), (4, "tu_subject5", "tu_address1-10", none, None),
+    ])
 
 
 def test_block_pairs_against_brute_force(spark):
@@ -54,7 +65,7 @@ def test_block_pairs_against_brute_force(spark):
     rows = [(r.choice([1, 1, 1, 2, 3, None]), f"f{i}", r.choice([None, "m"]), f"l{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "phone_number int, first_name string, middle_name string, last_name string")
     for safe in (False, True):
-        got = Counter((x.first_name1, x.first_name2) for x in pairs.block_pairs(df, df, null_safe=safe, hot_share=0.3, salts=4).collect())
+        got = Counter((x.first_name1, x.first_name2) for x in pairs.block_pairs(df, df, null_safe=safe, hot_share=0.1).collect())
         assert got == Counter((a[1], b[1]) for a in rows for b in rows if (a[0] == b[0] and (a[0] is not None or safe)))
     assert pairs.block_pairs(df.limit(0), df).count() == 0
 
@@ -63,7 +74,34 @@ def test_masks(spark):
     df = spark.createDataFrame([(5551234567,), (5551234568,), (None,)], "p long")
     m = df.select("p", pairs.mask_key("p", "s").alias("m")).collect()
     assert m[2].m is None and all(10**9 <= r.m < 10**10 and r.m != r.p for r in m[:2]) and m[0].m != m[1].m
-    assert pairs.mask_collisions(pairs.mask_map([df], "p", "s")).count() == 0
+    mapped = pairs.mask_map([df], "p", "s")
+    assert pairs.mask_collisions(mapped).count() == 0 and pairs.checked_mask_map(mapped, "p").count() == 2
+    # ten digits are permuted: a dense range has no collision
+    assert spark.range(9_999_950_000, 10_000_000_000).select(pairs.mask_key("id", "s").alias("m")).where("m between 1000000000 and 9999999999").distinct().count() == 50_000
+    two = df.withColumn("extra", F.lit("x"))
+    out = pairs.apply_mask(two, mapped.where("p = 5551234567"), "p")
+    assert out.columns == two.columns and Counter(r.p is None for r in out.collect()) == Counter({True: 2, False: 1})
+    for bad in ([(1, 1234567890), (2, 1234567890)], [(1234567890, 1234567890)], [(1, 12)]):
+        with pytest.raises(Exception, match="proper"):
+            pairs.checked_mask_map(spark.createDataFrame(bad, "p long, masked long"), "p").collect()
+
+
+def test_running_sums(spark):
+    r = random.Random(7)
+    rows = [(i, r.randint(-3, 9)) for i in range(500)]
+    df = spark.createDataFrame(r.sample(rows, 500), "i int, v int")
+    total, want = 0, {}
+    for i, v in reversed(rows):
+        want[i] = total = total + v
+    out = skew.running_sums(df, -F.col("i"), {"s": "v"})
+    assert out.columns == ["i", "v", "s"] and {x.i: x.s for x in out.collect()} == want
+    assert skew.running_sums(df.limit(0), F.col("i"), {"s": "v"}).count() == 0
+
+
+def test_distinct_per_key_keeps_nulls_apart(spark):
+    df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (1, None, None), (None, "a", "b"), (None, "a", "b")], "k int, a string, b string")
+    out = {x.k: (x.a, x.b, x.ab) for x in skew.distinct_per_key(df, "k", {"a": ["a"], "b": ["b"], "ab": ["a", "b"]}).collect()}
+    assert out == {1: (2, 2, 3), None: (1, 1, 1)}
 
 
 def test_rank_and_sampling(spark):

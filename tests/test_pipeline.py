@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from kithline.operators import pairs
 from kithline.plans import pipeline
-from kithline.plans.model import NameMatcher, estimator, random_grid
+from kithline.plans.model import GRIDS, NameMatcher, estimator, random_grid
 from kithline.sources import feeds
 from kithline.streaming.scoring import pair_stream, score_stream
 
+SMALL = GRIDS | {"RF": {"numTrees": [5], "maxDepth": [5]}, "GBM": {"maxIter": [3], "maxDepth": [3]}, "NN": {"hidden": [(8,)]}}
 COLS = "id long, first_name1 string, middle_name1 string, last_name1 string, first_name2 string, middle_name2 string, last_name2 string, category string"
 
 
@@ -28,7 +29,7 @@ def labelled(spark):
 
 
 def test_train_score_save_and_stream(spark, labelled, tmp_path):
-    m = NameMatcher.train(labelled, key="id", kinds=("GLM", "RF"), folds=2)
+    m = NameMatcher.train(labelled, key="id", kinds=("GLM", "RF"), folds=2, most=2, grids=SMALL)
     assert len(m.columns) == 81 and len(m.stats) == 76 and not any(c.startswith("middle_name1") for c in m.columns)
     extra = labelled.withColumn("features", F.lit("clash")).withColumnRenamed("first_name1", "given")
     out = m.transform(extra, names={"first_name1": "given"})
@@ -49,6 +50,34 @@ def test_train_score_save_and_stream(spark, labelled, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == labelled.count()
 
 
+def test_reports(spark, labelled):
+    rows = labelled.withColumn("phone_number", F.lit(5))
+    m = NameMatcher.train(rows, key="id", kinds=("GBM", "NN", "GLM"), folds=2, most=1, grids=SMALL)
+    assert m.stacks == {"ENS": ["GBM", "NN", "GLM"], "ENS2": ["GBM", "NN"]}
+    out = m.reports(rows.where("category is not null"))
+    assert {r.tp for r in out["confusion"].collect()} == {"GLM", "GBM", "Deep Learning", "Ensemble - Best Performance of Each Algorithm"}
+    roc = out["roc"].collect()
+    assert {r.tp for r in roc} == {"Binomial Regression", "GBM", "Deep Learning", "Ensemble - Best Performance of Each Algorithm"} and ("Deep Learning", 0.0, 0.0) in {(r.tp, r.fpr, r.tpr) for r in roc}
+    assert out["predictions"].columns == ["phone_number", "full_name1", "full_name2", "category", "predict", "Match", "first_name1_first_name2_lv_pct", "last_name1_last_name2_lv_pct"]
+
+
+def test_feeds_in_camel_case(spark):
+    mcr = spark.createDataFrame([("1", "'5551234567", "Ann", "-", "Smith", "01/31/2017", "Bob", None, "NULL")], "iKey string, iPhone string, iPhoneListing1FirstName string, iPhoneListing1MiddleName string, iPhoneListing1LastName string, iPhoneListing1FirstSeen string, iPhoneListing2FirstName string, iPhoneListing2MiddleName string, iPhoneListing2LastName string")
+    long = pipeline.long_mcr(mcr).collect()
+    assert {(r.mcr_ord, str(r.first_seen)) for r in long} == {("phone_listing1", "2017-01-31"), ("phone_listing2", "None")}
+    assert [tuple(r) for r in pipeline.clean_mcr(mcr).collect()] == [(5551234567, "ann", None, "smith")]
+    tu = spark.createDataFrame([("5551234567", "Ann", "Smith", "1 Road", None)], "Phonenumber string, TloSubject1NameFirstName string, TloSubject1NameLastName string, TloSubject1Address1FullAddress string, TloSubject1Address2FullAddress string").withColumn("TloSubject1NameMiddleName", F.lit(None).cast("string"))
+    assert [(r.tu_subject, r.tu_address, r.full_address) for r in pipeline.long_tu(tu).orderBy("tu_address").collect()] == [("1", "1", "1 Road"), ("1", "2", None)]
+    assert [tuple(r) for r in pipeline.clean_tu(tu).collect()] == [(5551234567, "ann", None, "smith")]
+    assert pipeline.clean_tu(tu.limit(0)).count() == 0 and pipeline.clean_mcr(mcr.limit(0)).count() == 0
+
+
+def test_reviewed_file(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("id,first_name1,category\n1,ann,Match\n2,NA,No Match\n3,bob,\n4,eve,NA\n")
+    rows = feeds.read_reviewed(spark, str(tmp_path / "r.csv"), "id int, first_name1 string, category string").collect()
+    assert [tuple(r) for r in rows] == [(1, "ann", "Match"), (2, None, "No Match")]
+
+
 def test_grid_and_estimators():
     assert len(random_grid("RF", 5)) == 5 and random_grid("GLM", 3) == random_grid("GLM", 3)
     with pytest.raises(ValueError):
