@@ -32,7 +32,8 @@ def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _sample(spark, d)[1].where("not met").select("category")
+    """Categories that lack the rows for their minimum or their share of the sample."""
+    return _sample(spark, d)[1].where("below_min or below_share").select("category")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -99,11 +100,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-def p8_large(spark: SparkSession, d: str) -> DataFrame:
+def _mix_large(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A mixture of as many tokens as the listed sources have; those that are too small for their share are exhausted."""
     listed = _t(spark, d, "source_targets").select("source")
     size = _t(spark, d, "documents").join(F.broadcast(listed), "source").agg(F.sum(tokens.token_count("text"))).first()[0] or 0
-    return mixture.mix_sources(_t(spark, d, "documents"), _t(spark, d, "source_targets"), total_tokens=size)[1]
+    return mixture.mix_sources(_t(spark, d, "documents"), _t(spark, d, "source_targets"), total_tokens=size)
+
+
+def p8_large(spark: SparkSession, d: str) -> DataFrame:
+    return _mix_large(spark, d)[0]
+
+
+def p8_large_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix_large(spark, d)[1]
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +120,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    listed = [p1_found, p1_variants, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p6_splits, p6_report, p7_found, p7_leaks, p7_pages, p8_mixture, p8_report, p8_large, p9_pieces]
+    listed = [p1_found, p1_variants, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p6_splits, p6_report, p7_found, p7_leaks, p7_pages, p8_mixture, p8_report, p8_large, p8_large_report, p9_pieces]
     return {f.__name__: f for f in listed}
 
 

@@ -140,7 +140,8 @@ def sample_to_targets(
     the driver; more than max_cells is an error.  A row is drawn by the hash of its key and the seed: same input, same sample.
 
     sample: the rows with all their columns.  report: category, target_share, min_rows, available, wanted (share of size, a fraction), drawn,
-    actual_share, below_min, below_share (fewer rows available than min_rows, or than the share of size), met.
+    actual_share, below_min, below_share (fewer rows available than min_rows, or than the share of size), off (actual_share less the target share), met: the drawn sample has min_rows rows of the category, and its
+    share is the target but for the rounding to whole rows (one row).
     Null categories and such as targets doesn't list are never drawn.  A category without rows is reported with 0.  A key that occurs twice is two rows.
     """
     names = [r[category] for r in targets.select(category).limit(max_cells + 1).collect()]
@@ -165,8 +166,11 @@ def sample_to_targets(
     ranked = distributed_rank(cellof.where(F.col("_category").isin([c for c, q in quota.items() if q])).withColumn("_u", unit_hash("_key", seed)), ["_category", "_stratum"], "_u", "_key", "_rank")
     sample = ranked.join(F.broadcast(cells), (F.col("_category") == F.col("_c")) & F.col("_stratum").eqNullSafe(F.col("_s"))).where("_rank <= _quota").select("_row.*")
     drawn = sum(quota.values())
-    report = spark.createDataFrame(
-        [(c, w, m, have.get(c, 0), w * n, quota[c], quota[c] / drawn if drawn else 0.0, have.get(c, 0) < m, have.get(c, 0) < w * n, have.get(c, 0) >= m and have.get(c, 0) >= w * n) for c, (w, m) in wanted.items()],
-        "category string, target_share double, min_rows int, available long, wanted double, drawn long, actual_share double, below_min boolean, below_share boolean, met boolean",
-    )
+    weight = sum(w for w, _ in wanted.values()) or 1.0
+
+    def line(c: str, w: float, m: int) -> tuple:
+        got = quota[c] / drawn if drawn else 0.0
+        return (c, w, m, have.get(c, 0), w * n, quota[c], got, have.get(c, 0) < m, have.get(c, 0) < w * n, got - w / weight, quota[c] >= m and abs(quota[c] - drawn * w / weight) <= 1)
+
+    report = spark.createDataFrame([line(c, w, m) for c, (w, m) in wanted.items()], "category string, target_share double, min_rows int, available long, wanted double, drawn long, actual_share double, below_min boolean, below_share boolean, off double, met boolean")
     return sample, report
