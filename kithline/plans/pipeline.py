@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kithline.functions.text import digits, null_tokens, parse_date, to_number, trim_blanks
 from kithline.operators import pairs, reshape, sampling
 from kithline.operators.features import feature_table
+from kithline.operators.skew import cut_lineage
 
 
 def clean_exp(feed: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def clean_tu(feed: DataFrame) -> DataFrame:
 
 def build_names(feeds: list[DataFrame], salt: str) -> list[DataFrame]:
     """The name tables with masked phones; a phone has the same mask in all of them, null stays null, and masks are checked."""
-    masks = pairs.checked_mask_map(pairs.mask_map(feeds, "phone_number", salt), "phone_number")
+    masks = cut_lineage(pairs.checked_mask_map(pairs.mask_map(feeds, "phone_number", salt), "phone_number"))
     return [pairs.distinct_names(pairs.apply_mask(f, masks, "phone_number")) for f in feeds]
 
 
