@@ -56,12 +56,22 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d)[0]
 
 
+def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return softlogic.match_rows([_t(spark, d, f"name{i}") for i in (1, 2, 3)])
+
+
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:
-    return softlogic.match_entities([_t(spark, d, f"name{i}") for i in (1, 2, 3)])
+    """Matches of representatives, with what the coupling rules changed."""
+    return _matched(spark, d)[0]
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its representative and the number of that one's matches."""
+    return _matched(spark, d)[1].select(F.col("id").alias("name_id"), F.col("rid").alias("representative"), "n_links")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_matches(spark, d).select("name_id_a", "name_id_b")
+    return softlogic.match_entities([_t(spark, d, f"name{i}") for i in (1, 2, 3)]).select("name_id_a", "name_id_b")
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +130,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    listed = [p1_found, p1_variants, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p6_splits, p6_report, p7_found, p7_leaks, p7_pages, p8_mixture, p8_report, p8_large, p8_large_report, p9_pieces]
+    listed = [p1_found, p1_variants, p2_found, p2_sample, p2_report, p4_found, p4_collapsed, p5_found, p5_matches, p5_members, p6_splits, p6_report, p7_found, p7_leaks, p7_pages, p8_mixture, p8_report, p8_large, p8_large_report, p9_pieces]
     return {f.__name__: f for f in listed}
 
 

@@ -1,131 +1,179 @@
 """Splits that keep related records together, by component swap search.
 
-Components (all rows of one key) are aggregated to label counts.  Large ones are units of the search by themselves; the others are
-bundled by hash, and a bundle is a unit.  That bounds the units whatever the data, so that annealing runs in parallel, one chain per task,
-each from the hashed assignment with its own seed, and the best result is kept.
+Components (all rows of one key, or a single row without one) are aggregated to label counts; each is a unit of the search, whatever their
+number.  From the hashed assignment, annealing chains move and exchange whole units.  Units are dealt out to groups of bounded size that are annealed in
+parallel, each group removing its part of the deviation; groups that are few have several chains, of which the best is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import random
+from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A component with at least this share of the rows is a unit of its own, so there are at most 1 / LARGE of them; the others share BUNDLES units.
-LARGE, BUNDLES = 1 / 4096, 4096
+from kithline.operators.skew import cut_lineage
 
+#: Units of one annealing chain, about; chains that run side by side where groups are few; proposals for each unit.
+GROUP, CHAINS, PROPOSALS = 20_000, 8, 12
+#: A component with at least this share of the rows is assigned through a broadcast table, which has 1 / HOT entries at most.
+HOT = 1 / 1000
+Unit = Sequence[tuple[int, float]]
 
-def anneal(counts: np.ndarray, targets: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
+
+def anneal(units: Sequence[Unit], gap: list[list[float]], start: Sequence[int], seed: int, steps: int) -> tuple[float, list[int]]:
     """(deviation, split of each unit) after moves and exchanges of whole units.
 
-    counts: units x labels.  The deviation is the sum over splits of |share of rows - target| plus the mean over labels, weighted by the square root of their size, of the
-    same sum for each label.
+    units: (dimension, weight) pairs; gap: for each split and dimension what it has too much, under the assignment `start`.  The deviation is the sum of the
+    absolute gaps.
     """
-    rng = np.random.default_rng(seed)
-    label = counts.sum(axis=0)
-    total = max(1.0, float(label.sum()))
-    weight = np.sqrt(label)
-    weight = weight / max(1e-9, weight.sum())
-    # one matrix of deviations: rows first, then the labels
-    units = np.column_stack([counts.sum(axis=1) / total, counts / np.maximum(label, 1) * weight])
-    goal = targets[:, None] * np.concatenate([[1.0], np.where(label > 0, weight, 0.0)])[None, :]
-    k = len(targets)
-    at = start.copy()
-    have = np.zeros((k, units.shape[1]))
-    np.add.at(have, at, units)
-    gap = have - goal
-    now = float(np.abs(gap).sum())
-    best, best_at = now, at.copy()
-    if len(units) < 2 or k < 2:
+    rng = random.Random(seed)
+    gap, at, k, n = [list(g) for g in gap], list(start), len(gap), len(units)
+    now = sum(abs(x) for g in gap for x in g)
+    best, best_at, moved = now, list(at), []  # moved: units whose split may differ from best_at
+    if not n or k < 2:
         return best, best_at
-    one, two, to, draw, kind = rng.integers(len(units), size=steps), rng.integers(len(units), size=steps), rng.integers(k, size=steps), rng.random(steps), rng.random(steps)
-    heat = np.geomspace(0.02, 1e-7, steps)
-    for i in range(steps):
-        u = one[i]
+    heat, cool = 0.02, (1e-7 / 0.02) ** (1 / max(1, steps))
+    for _ in range(steps):
+        heat *= cool
+        u = rng.randrange(n)
         a = at[u]
-        if kind[i] < 0.5:
-            b, move = to[i], units[u]
-            if a == b:
-                continue
-            v = -1
+        if rng.random() < 0.5 or n < 2:
+            v, b = -1, rng.randrange(k)
+            change = units[u]
         else:
-            v = two[i]
+            v = rng.randrange(n)
             b = at[v]
-            if a == b:
-                continue
-            move = units[u] - units[v]
-        ga, gb = gap[a] - move, gap[b] + move
-        change = float(np.abs(ga).sum() + np.abs(gb).sum() - np.abs(gap[a]).sum() - np.abs(gap[b]).sum())
-        if change <= 0 or draw[i] < np.exp(-change / heat[i]):
-            gap[a], gap[b] = ga, gb
+            net = dict(units[u])
+            for d, x in units[v]:
+                net[d] = net.get(d, 0.0) - x
+            change = net.items()
+        if a == b:
+            continue
+        ga, gb = gap[a], gap[b]
+        more = 0.0
+        for d, x in change:
+            p, q = ga[d], gb[d]
+            more += abs(p - x) - abs(p) + abs(q + x) - abs(q)
+        if more <= 0 or rng.random() < math.exp(-more / heat):
+            for d, x in change:
+                ga[d] -= x
+                gb[d] += x
             at[u] = b
+            moved.append(u)
             if v >= 0:
                 at[v] = a
-            now += change
+                moved.append(v)
+            now += more
             if now < best - 1e-12:
-                best, best_at = now, at.copy()
+                best = now
+                for w in moved:
+                    best_at[w] = at[w]
+                moved = []
     return best, best_at
 
 
+def _chain(gap: list[list[float]], total: int, seed: tuple[int, int], proposals: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One annealing chain over the units of a group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_u")
+        units = [[(0, n / total), *[(p["d"], p["x"]) for p in parts]] for n, parts in zip(pdf["n"], pdf["parts"])]
+        deviation, at = anneal(units, gap, pdf["at"].tolist(), hash((*seed, int(pdf["chain"].iloc[0]))), proposals * len(units) + 2000)
+        return pdf[["g", "chain", "_u"]].assign(deviation=deviation, at=at)
+
+    return run
+
+
 def split_components(
-    rows: DataFrame, targets: DataFrame, *, component: str, row_key: str, label: str, seed: int = 5, chains: int = 12, steps: int = 40_000, max_labels: int = 200
+    rows: DataFrame, targets: DataFrame, *, component: str, row_key: str, label: str, seed: int = 5, chains: int = CHAINS, proposals: int = PROPOSALS, group: int = GROUP
 ) -> tuple[DataFrame, DataFrame]:
     """(assigned, report): every row with a column `split`, and the shares reached.
 
     All rows of one value of `component` get the same split; rows without one stand alone.  targets: split_name, target_share (in
     proportion).  report: label ("all rows" for the first), split, n_rows, actual_share, target_share.
 
-    The rows are aggregated once (with partial aggregation, so a hot component costs nothing) and read once more to be assigned through two
-    broadcast tables of at most 1 / LARGE and BUNDLES entries; they are not shuffled for it.  Labels beyond the max_labels most frequent ones are
-    balanced together, as are null labels.  An empty table gives empty results; a component key that is an empty string is a component; a column `split` of the rows is replaced.
+    What is minimised is the sum over splits of |share of rows - target| plus, weighted by the square root of its size, the same sum for each label; null labels
+    are a label.  The table of splits by labels goes through the driver, units don't.  First the largest units, as many as one chain takes, remove what they can of
+    the deviation; then all others in groups by hash, each its part; then as many small ones as one chain takes remove what the groups left.
+
+    The rows are aggregated once, with partial aggregation, so a hot component costs nothing, and joined once with the units that moved; rows of
+    components above a share of HOT are not shuffled for it.  An empty table gives empty results; a component key that is an empty string is a component; a
+    column `split` of the rows is replaced.
     """
     spark = rows.sparkSession
     wanted = [(r.split_name, float(r.target_share)) for r in targets.orderBy("split_name").limit(1001).collect()]
     if not wanted or len(wanted) > 1000 or sum(w for _, w in wanted) <= 0:
         raise ValueError("targets need 1 to 1000 splits with positive shares")
-    share = np.array([w for _, w in wanted]) / sum(w for _, w in wanted)
-    tops = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_labels).collect()
-    labels = {r[label]: i for i, r in enumerate(tops)}
+    share = [w / sum(w for _, w in wanted) for _, w in wanted]
+    k = len(share)
     lone, text = F.col(component).isNull(), F.col(component).cast("string")
-    bundle = F.pmod(F.when(lone, F.xxhash64(F.lit(seed), F.lit("row"), F.col(row_key))).otherwise(F.xxhash64(F.lit(seed), F.lit("component"), text)), F.lit(BUNDLES)).cast("int")
-    number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col(label)), F.lit(len(labels))) if labels else F.lit(0)
-    total = rows.count()
-    keyed = rows.select(text.alias("_c"), bundle.alias("_b"), number.alias("_l"))
-    sized = keyed.groupBy("_c", "_b", "_l").agg(F.count(F.lit(1)).alias("n"))
-    large = [r._c for r in sized.where("_c is not null").groupBy("_c").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total * LARGE)).select("_c").collect()]
-    place = {c: BUNDLES + i for i, c in enumerate(sorted(large))}
-    units_of = spark.createDataFrame(list(place.items()), "_c string, _unit int")
-    units = sized.join(F.broadcast(units_of), "_c", "left").groupBy(F.coalesce("_unit", "_b").alias("u"), "_l").agg(F.sum("n").alias("n")).collect()
-    names = sorted({r.u for r in units})
-    at = {u: i for i, u in enumerate(names)}
-    counts = np.zeros((len(names), len(labels) + 1))
-    for r in units:
-        counts[at[r.u], r._l] += r.n
-    # the hashed assignment: each unit's hash picks a split with the target's probability
-    start = np.minimum(np.searchsorted(np.cumsum(share), np.array([((u * 2654435761 + seed * 97) % (1 << 32)) / (1 << 32) for u in names]), side="right"), len(share) - 1).astype(np.int64)
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = [anneal(counts, share, start, int(s), steps) for s in b["seed"]]
-            yield pd.DataFrame({"deviation": [d for d, _ in done], "seed": b["seed"], "splits": [x.tolist() for _, x in done]})
-
-    if names:
-        runs = spark.range(seed, seed + chains, 1, chains).withColumnRenamed("id", "seed").mapInPandas(chain, "deviation double, seed long, splits array<int>")
-        best = runs.orderBy("deviation", "seed").limit(1).collect()[0].splits
+    unit = F.when(lone, F.xxhash64(F.lit(seed), F.lit("row"), F.col(row_key))).otherwise(F.xxhash64(F.lit(seed), F.lit("component"), text))
+    # the hashed assignment: a unit's hash picks a split with the target's probability
+    draw, upto = F.pmod(F.xxhash64(F.lit("split"), F.col("_u")), F.lit(1 << 40)) / F.lit(float(1 << 40)), 0.0
+    first = F.lit(k - 1)
+    for i in reversed(range(k - 1)):
+        upto = sum(share[: i + 1])
+        first = F.when(draw < upto, i).otherwise(first)
+    sized = cut_lineage(rows.select(unit.alias("_u"), F.col(label).cast("string").alias("_l")).groupBy("_u", "_l").agg(F.count(F.lit(1)).alias("n")))
+    sums = sized.groupBy("_l").agg(F.sum("n").alias("n")).orderBy("_l").collect()
+    total, root = max(1, sum(r.n for r in sums)), sum(math.sqrt(r.n) for r in sums) or 1.0
+    # a label's dimension, and the weight that a row has in it; dimension 0 is all rows
+    dims = spark.createDataFrame([(r._l, i, math.sqrt(r.n) / root / r.n) for i, r in enumerate(sums, 1)], "_l string, d int, w double")
+    goal = [[s, *[s * math.sqrt(r.n) / root for r in sums]] for s in share]
+    parts = sized.join(dims, sized["_l"].eqNullSafe(dims["_l"])).select("_u", "n", F.struct("d", (F.col("n") * F.col("w")).alias("x")).alias("part"))
+    units = parts.groupBy("_u").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("part")).alias("parts")).withColumn("start", first).withColumn("at", F.col("start"))
+    units = cut_lineage(units)
+    # sizes by powers of two: the largest units that fit into one chain
+    by_size, large, count = {r.b: r.c for r in units.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}, None, 0
+    every = sum(by_size.values())
+    for b in sorted(by_size, reverse=True):
+        count += by_size[b]
+        if count > group:
+            break
+        large = b
+    groups = -(-every // group)
+    big = F.col("n") >= (1 << large) if large is not None else F.lit(False)
+    spread = F.pmod(F.xxhash64(F.lit("group"), "_u"), F.lit(max(1, groups)))
+    # which units take part, their group, the number of groups; all at once if they fit into one chain
+    if groups <= 1:
+        rounds = [(F.lit(True), F.lit(0), 1)]
     else:
-        best = []
-    split = {u: wanted[best[i]][0] for u, i in at.items()}
-    chosen = spark.createDataFrame(list(split.items()), "_u int, split string")
+        some = F.pmod(F.xxhash64(F.lit("some"), "_u"), F.lit(1 << 20)) < int((1 << 20) * group / every)
+        rounds = [(big, F.lit(0), 1), (~big, spread, groups), (~big & some, F.lit(0), 1)]
+    for r, (chosen, place, many) in enumerate(rounds if every else []):
+        have = [[0.0] * len(goal[0]) for _ in share]
+        for x in units.groupBy("at").agg(F.sum("n").alias("n")).collect():
+            have[x["at"]][0] = x.n / total
+        for x in units.select("at", F.inline("parts")).groupBy("at", "d").agg(F.sum("x").alias("x")).collect():
+            have[x["at"]][x.d] = x.x
+        gap = [[(h - g) / many for h, g in zip(hs, gs)] for hs, gs in zip(have, goal)]
+        if sum(abs(x) for g in gap for x in g) < 1e-9:
+            break
+        copies = max(1, chains // many)
+
+        dealt = units.where(chosen).withColumn("g", place.cast("int")).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        done = cut_lineage(dealt.groupBy("g", "chain").applyInPandas(_chain(gap, total, (seed, r), proposals), "g int, chain int, _u long, deviation double, at int"))
+        best = done.groupBy("g").agg(F.min(F.struct("deviation", "chain")).alias("b")).select("g", F.col("b.chain").alias("chain"))
+        new = done.join(best, ["g", "chain"]).select("_u", F.col("at").alias("new"))
+        units = cut_lineage(units.join(new, "_u", "left").withColumn("at", F.coalesce("new", "at")).drop("new"))
+    moved = units.where("at <> start")
+    is_hot = F.col("n") >= max(2.0, total * HOT)
+    hot, cold = moved.where(is_hot).select(F.col("_u").alias("_uh"), F.col("at").alias("_h")), moved.where(~is_hot).select(F.col("_u").alias("_uc"), F.col("at").alias("_c"))
     kept = [f"`{c}`" for c in rows.columns if c.lower() != "split"]
-    boxed = rows.select(F.struct(*kept).alias("_row"), text.alias("_ck"), bundle.alias("_bk"))
-    out = boxed.join(F.broadcast(units_of.withColumnRenamed("_c", "_ck")), "_ck", "left")
-    assigned = out.withColumn("_u", F.coalesce("_unit", "_bk")).join(F.broadcast(chosen), "_u").select("_row.*", "split")
-    by = assigned.groupBy(F.coalesce(F.col(label), F.lit("no label")).alias("label"), "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    boxed = rows.select(F.struct(*kept).alias("_row"), unit.alias("_u"), F.xxhash64(F.lit("spread"), F.col(row_key)).alias("_s"))
+    every_hot = F.broadcast(units.where(is_hot).select(F.col("_u").alias("_ua"), F.lit(True).alias("_is")))
+    out = boxed.join(every_hot, F.col("_u") == F.col("_ua"), "left").join(F.broadcast(hot), F.col("_u") == F.col("_uh"), "left")
+    out = out.withColumn("_k", F.when(F.col("_is"), F.col("_s")).otherwise(F.col("_u"))).join(cold, F.col("_k") == F.col("_uc"), "left")
+    number = F.when(F.col("_is"), F.coalesce("_h", first)).otherwise(F.coalesce("_c", first))
+    names = F.array(*[F.lit(n) for n, _ in wanted])
+    assigned = out.select("_row.*", F.element_at(names, number + 1).alias("split"))
+    by = assigned.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("no label")).alias("label"), "split").agg(F.count(F.lit(1)).alias("n_rows"))
     by = by.unionByName(assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("label", F.lit("all rows")))
     of = by.groupBy("label").agg(F.sum("n_rows").alias("_n"))
-    goal = F.array(*[F.struct(F.lit(n).alias("split"), F.lit(float(s)).alias("target_share")) for (n, _), s in zip(wanted, share)])
-    every = of.select("label", "_n", F.inline(goal)).join(by, ["label", "split"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
-    return assigned, every.select("label", "split", "n_rows", (F.col("n_rows") / F.col("_n")).alias("actual_share"), "target_share")
+    aims = F.array(*[F.struct(F.lit(n).alias("split"), F.lit(float(s)).alias("target_share")) for (n, _), s in zip(wanted, share)])
+    table = of.select("label", "_n", F.inline(aims)).join(by, ["label", "split"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return assigned, table.select("label", "split", "n_rows", (F.col("n_rows") / F.col("_n")).alias("actual_share"), "target_share")

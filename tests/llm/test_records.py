@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -84,7 +85,8 @@ def test_sample(spark):
     assert len({x.id for x in got}) == len(got) == round(0.9 * n) + 1 and sample.columns == df.columns
     assert abs(by["a"].drawn - n * 0.5) < 1 and by["b"].drawn == round(0.9 * n) - by["a"].drawn
     assert Counter(x.category for x in got) == {k: v.drawn for k, v in by.items() if v.drawn}
-    assert not by["c"].met and by["c"].below_min and not by["none"].met and by["a"].met and by["c"].drawn == 1
+    assert not by["c"].met and by["c"].below_min and not by["none"].met and not by["a"].met and by["c"].drawn == 1
+    assert abs(by["a"].off - (by["a"].drawn / len(got) - 0.5)) < 1e-9
     strata = Counter((x.category, x.s) for x in got)
     have = Counter((x[1], x[2]) for x in rows)
     for (c, s), k in strata.items():
@@ -99,7 +101,7 @@ def test_splits(spark):
     rows = [(i, r.choice([1] * 10 + [2] * 5 + list(range(3, 60)) + [None] * 8), r.choice(["m", "m", "n", None]), "clash") for i in range(800)]
     df = spark.createDataFrame(rows, "id int, phone int, category string, split string")
     targets = spark.createDataFrame([("train", 0.7), ("validation", 0.12), ("test", 0.18)], "split_name string, target_share double")
-    assigned, report = splits.split_components(df, targets, component="phone", row_key="id", label="category", chains=3, steps=6000)
+    assigned, report = splits.split_components(df, targets, component="phone", row_key="id", label="category", chains=3)
     got = assigned.collect()
     assert sorted(x.id for x in got) == list(range(800)) and assigned.columns == ["id", "phone", "category", "split"]
     by = defaultdict(set)
@@ -108,7 +110,36 @@ def test_splits(spark):
     assert all(len(v) == 1 for k, v in by.items() if k is not None) and len(by[None]) > 1
     for x in report.collect():
         assert abs(x.actual_share - x.target_share) < (0.01 if x.label == "all rows" else 0.03), x
-    again = splits.split_components(df.repartition(5), targets, component="phone", row_key="id", label="category", chains=3, steps=6000)[0]
+    again = splits.split_components(df.repartition(5), targets, component="phone", row_key="id", label="category", chains=3)[0]
     assert {(x.id, x.split) for x in again.collect()} == {(x.id, x.split) for x in got}
-    none, rep = splits.split_components(df.limit(0), targets, component="phone", row_key="id", label="category", chains=1, steps=10)
+    # groups of 30 units: the largest first, the others side by side, then the rest of the deviation
+    dealt, report = splits.split_components(df, targets, component="phone", row_key="id", label="category", group=30)
+    by = defaultdict(set)
+    for x in dealt.collect():
+        by[x.phone].add(x.split)
+    assert all(len(v) == 1 for k, v in by.items() if k is not None)
+    assert all(abs(x.actual_share - x.target_share) < (0.01 if x.label == "all rows" else 0.03) for x in report.collect())
+    # as many labels as rows: none is merged with another
+    many = splits.split_components(df.withColumn("category", F.col("id").cast("string")), targets, component="phone", row_key="id", label="category")[1]
+    assert many.select("label").distinct().count() == 801
+    none, rep = splits.split_components(df.limit(0), targets, component="phone", row_key="id", label="category", chains=1)
     assert none.count() == 0 and rep.count() == 0
+
+
+def test_anneal_against_all_assignments():
+    r = random.Random(3)
+    for _ in range(6):
+        units = [[(0, w / 100), (r.randint(1, 2), w / 100)] for w in (r.randint(1, 30) for _ in range(7))]
+        goal = [[0.4, 0.2, 0.2], [0.3, 0.1, 0.2], [0.3, 0.2, 0.1]]
+
+        def gap(at, units=units, goal=goal):
+            have = [[0.0] * 3 for _ in goal]
+            for u, a in zip(units, at):
+                for d, x in u:
+                    have[a][d] += x
+            return [[h - g for h, g in zip(hs, gs)] for hs, gs in zip(have, goal)]
+
+        total = lambda at: sum(abs(x) for g in gap(at) for x in g)
+        best = min(map(total, itertools.product(range(3), repeat=7)))
+        found = min(splits.anneal(units, gap([0] * 7), [0] * 7, seed, 3000) for seed in range(4))
+        assert abs(found[0] - total(found[1])) < 1e-9 and found[0] <= best + 1e-9
