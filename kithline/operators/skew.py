@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,18 +19,24 @@ CELL_ROWS = 200_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it from there.
+    """Write df as a table to the cluster's shared checkpoint folder and read it from there.
 
     The folder is spark.checkpoint.dir.  A session without one gets a temporary folder if it runs within one process (master local[...]); on a
-    cluster that is an error, as executors couldn't share it.  The files survive the loss of executors, unlike local checkpoints.
+    cluster that is an error, as executors couldn't share it.  The table survives the loss of executors and is deleted when the driver ends.  Unlike a
+    checkpoint it has its true size as its statistics: those of checkpoints are the products of what was joined, and grow without bound in iterations.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kithline-"))
-    return df.checkpoint(eager=True)
+    at = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(at)
 
 
 def unit_hash(key: Column | str, seed: int) -> Column:
