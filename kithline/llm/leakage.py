@@ -1,10 +1,10 @@
 """Evaluation texts leaking into training text.
 
-The items are cut into overlapping chunks and put into an inverted index with BM25 impacts, grouped in blocks
-that keep, for each term, the largest impact of the block.  Every page is a query: the sum of its terms' block
-maxima bounds the score of all chunks of a block, and only blocks whose bound reaches a chunk's threshold are
-scored exactly (block-max WAND; the lists of a page's terms are traversed together, as vectors, so that all pivots are found at once).  Items whose chunk
-reaches its threshold are verified word by word on the page.
+The items are cut into overlapping chunks and put into an inverted index: for each term the list of the blocks of chunks that have it, with its largest
+BM25 impact in the block, and below that the chunks with theirs.  Every page is a query of block-max WAND.  Of its terms, ordered by the largest impact of their
+lists, those before the pivot can't reach any threshold together, so only blocks in lists from the pivot on are visited; of these the ones are skipped whose
+block maxima, at first with list maxima for the terms before the pivot and then with theirs, stay below the thresholds of their chunks; the chunks of what is left are scored
+exactly.  Items whose chunk reaches its threshold are verified word by word on the page.
 
 Words are compared by a skeleton in which letters that scanners confuse are one letter, and a match is confirmed
 letter by letter with the direction of the misreading.
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What a scanner makes of a printed letter (lower case).
+#: What a scanner makes of a printed letter (lower case).
 MISREAD = {
     "a": "ao0", "b": "b8", "c": "ceo0", "e": "eco0", "f": "fs", "g": "gq", "h": "hb", "i": "il1", "l": "l1i", "n": "nu",
     "o": "o0", "r": "rvy", "s": "sf5", "t": "tfs", "u": "un", "v": "vy", "é": "é6",
@@ -143,54 +143,71 @@ class Item:
 
 
 class Index:
-    """BM25 inverted index of item chunks in blocks with maxima.
+    """BM25 inverted index of item chunks in blocks with maxima; its size is in proportion to the words of the items.
 
     A chunk has `run + stride` words, one starting every `stride` words, so each run of `run` words lies in one chunk.  A
     chunk's threshold is `keep` times the least score that a run of that length in it can have.
     """
 
     def __init__(self, ids: list[int], texts: list[str], run: int, stride: int, keep: float, block: int, questions: list[str | None] | None = None, k1: float = 1.2, b: float = 0.75):
-        self.ids, self.items = ids, [Item(t, q) for t, q in zip(texts, questions or [None] * len(texts))]
-        chunks = [(i, x.words[s : s + run + stride]) for i, x in enumerate(self.items) for s in range(0, max(1, len(x.words) - run + 1), stride) if len(x.words) >= run]
+        self.ids, self.texts, self.run, self.block = ids, list(zip(texts, questions or [None] * len(texts))), run, block
+        words = [letters(t).translate(FOLD).split() for t in texts]
+        chunks = [(i, x[s : s + run + stride]) for i, x in enumerate(words) for s in range(0, max(1, len(x) - run + 1), stride) if len(x) >= run]
         bags = [Counter([*w, *zip(w, w[1:])]) for _, w in chunks]
         df = Counter(t for bag in bags for t in bag)
         n, mean = max(1, len(bags)), sum(map(len, bags)) / max(1, len(bags))
         impact = lambda t, bag: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * bag[t] * (k1 + 1) / (bag[t] + k1 * (1 - b + b * len(bag) / mean))
         # alike chunks stand in one block, which keeps the bounds tight
         order = sorted(range(len(bags)), key=lambda c: [(-df[t], t) for t in sorted((t for t in bags[c] if isinstance(t, tuple)), key=lambda t: (-df[t], t))[:3]])
-        vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in chunks for w in ws}))}
-        pairs = sorted({(vocabulary[a], vocabulary[z]) for bag in bags for t in bag if isinstance(t, tuple) for a, z in [t]})
-        self.vocabulary, self.size = vocabulary, len(vocabulary)
-        for x in self.items:
-            if len(x.words) >= run:
-                x.prepare(np.array([np.log1p(len(bags) / (1 + df[w])) ** POWER for w in x.words]), vocabulary, run)
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in chunks for w in ws}))}
+        self.size = len(self.vocabulary)
+        pairs = sorted({(self.vocabulary[a], self.vocabulary[z]) for bag in bags for t in bag if isinstance(t, tuple) for a, z in [t]})
+        self.pairs = np.array([a * self.size + z for a, z in pairs], dtype=np.int64)
+        self.weights = np.array([np.log1p(len(bags) / (1 + df[w])) ** POWER for w in self.vocabulary])
         self.rests: dict[str, dict[str, str]] = defaultdict(dict)  # first part of a word -> {its rest: the word}
-        for w in vocabulary:
+        for w in self.vocabulary:
             for k in range(1, len(w)):
                 self.rests[w[:k]][w[k:]] = w
-        self.pairs = np.array([a * self.size + z for a, z in pairs], dtype=np.int64)
-        row = {**vocabulary, **{p: self.size + k for k, p in enumerate(pairs)}}
-        key = lambda t: row[t] if isinstance(t, str) else row[vocabulary[t[0]], vocabulary[t[1]]]
-        blocks = [order[i : i + block] for i in range(0, len(order), block)]
-        self.bound = np.zeros((len(row) + 1, len(blocks)), dtype=np.float32)
-        self.local = np.zeros((len(row) + 1, len(blocks)), dtype=np.int16)
-        most = max((len({t for c in x for t in bags[c]}) for x in blocks), default=0)
-        self.tables = np.zeros((len(blocks), most + 1, block), dtype=np.float32)
-        self.need = np.full((len(blocks), block), np.inf, dtype=np.float32)
-        self.owner = np.full((len(blocks), block), -1, dtype=np.int32)
-        for k, members in enumerate(blocks):
-            terms = sorted({key(t) for c in members for t in bags[c]})
-            self.local[terms, k] = np.arange(1, len(terms) + 1)
-            for j, c in enumerate(members):
-                for t in bags[c]:
-                    self.tables[k, self.local[key(t), k], j] = impact(t, bags[c])
-                w = chunks[c][1]
-                self.need[k, j] = keep * min(sum(impact(t, bags[c]) for t in {*w[s : s + run], *zip(w[s : s + run], w[s + 1 : s + run])}) for s in range(len(w) - run + 1))
-                self.owner[k, j] = chunks[c][0]
-            self.bound[terms, k] = self.tables[k, 1 : len(terms) + 1].max(axis=1)
-        self.mark = np.zeros(len(row) + 1, dtype=bool)
-        self.flat = self.tables.reshape(-1, block)
-        self.least = self.need.min(axis=1) if blocks else np.zeros(0, dtype=np.float32)
+        row = {p: self.size + k for k, p in enumerate(pairs)}
+        key = lambda t: self.vocabulary[t] if isinstance(t, str) else row[self.vocabulary[t[0]], self.vocabulary[t[1]]]
+        blocks = self.blocks = -(-len(order) // block)
+        term, place, value = [], [], []
+        need, self.owner = np.full(max(1, blocks) * block, np.inf, dtype=np.float32), np.full(max(1, blocks) * block, -1, dtype=np.int64)
+        for at, c in enumerate(order):
+            i, w = chunks[c]
+            score = {t: impact(t, bags[c]) for t in bags[c]}
+            term += [key(t) for t in score]
+            place += [at] * len(score)
+            value += score.values()
+            need[at] = keep * min(sum(score[t] for t in {*w[s : s + run], *zip(w[s : s + run], w[s + 1 : s + run])}) for s in range(len(w) - run + 1))
+            self.owner[at] = i
+        # postings in order of term and chunk, and their blocks
+        term, place = np.array(term, dtype=np.int64), np.array(place, dtype=np.int64)
+        sort = np.lexsort((place, term))
+        self.place, self.impact = place[sort].astype(np.int32), np.array(value, dtype=np.float32)[sort]
+        code = term[sort] * max(1, blocks) + self.place // block
+        self.code, first = np.unique(code, return_index=True)  # an entry for each term and block
+        self.entry = np.append(first, len(code))
+        self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0, dtype=np.float32)
+        terms = self.size + len(pairs)
+        self.list = np.searchsorted(self.code, np.arange(terms + 1) * max(1, blocks))
+        self.in_block = (self.code % max(1, blocks)).astype(np.int32)
+        self.top = np.zeros(terms, dtype=np.float32)
+        np.maximum.at(self.top, self.code // max(1, blocks), self.most)
+        self.need, self.least = need, need.reshape(-1, block).min(axis=1)
+        self.floor = float(self.least.min()) if blocks else np.inf
+        self.mark = np.zeros(terms + 1, dtype=bool)
+        self.visited = self.scored = 0  # blocks, of all pages so far
+        self.known: dict[int, Item] = {}
+
+    def item(self, i: int) -> Item:
+        """An item ready for verification; those of late are kept."""
+        if i not in self.known:
+            if len(self.known) >= 2_000:
+                self.known.clear()
+            x = self.known[i] = Item(*self.texts[i])
+            x.prepare(self.weights[[self.vocabulary[w] for w in x.words]], self.vocabulary, self.run)
+        return self.known[i]
 
     def rejoined(self, folded: list[list[str]], reach: int) -> list[tuple[str | None, str, str | None]]:
         """Words of which a first part ends a segment and the rest begins one at most `reach` segments on, each between its neighbours."""
@@ -221,12 +238,49 @@ class Index:
 
     def candidates(self, rows: np.ndarray) -> set[int]:
         """Items with a chunk that reaches its threshold."""
-        bound = np.add.reduce(self.bound.take(rows, axis=0), axis=0)
-        pivots = np.nonzero(bound >= self.least)[0]
-        if not len(pivots):
+        rows = rows[np.argsort(self.top[rows], kind="stable")]
+        upto = np.cumsum(self.top[rows], dtype=np.float64)
+        pivot = int(np.searchsorted(upto, self.floor))
+        if pivot >= len(rows):
+            return set()
+        before, rest = rows[:pivot], float(upto[pivot - 1]) if pivot else 0.0
+        at = _ranges(self.list[rows[pivot:]], self.list[rows[pivot:] + 1])
+        bound = np.bincount(self.in_block[at], weights=self.most[at], minlength=self.blocks)
+        visited = np.flatnonzero((bound > 0) & (bound + rest >= self.least))
+        self.visited += len(visited)
+        if not len(visited):
             return set()
-        scores = np.add.reduce(self.flat.take(self.local.take(rows, axis=0).take(pivots, axis=1) + pivots * self.tables.shape[1], axis=0), axis=0)
-        return set(self.owner[pivots][scores >= self.need[pivots]].tolist())
+        # the terms before the pivot, in the blocks that are left: by search if these are few, else by their lists
+        number = np.full(self.blocks, -1, dtype=np.int64)
+        number[visited] = np.arange(len(visited))
+        lengths = self.list[before + 1] - self.list[before]
+        if len(before) * len(visited) * 16 < int(lengths.sum()):
+            want = (before[:, None] * self.blocks + visited[None, :]).ravel()
+            hit = np.minimum(np.searchsorted(self.code, want), len(self.code) - 1)
+            hit = hit[self.code[hit] == want]
+        else:
+            hit = _ranges(self.list[before], self.list[before + 1])
+            hit = hit[number[self.in_block[hit]] >= 0]
+        full = bound[visited] + np.bincount(number[self.in_block[hit]], weights=self.most[hit], minlength=len(visited))
+        chosen = np.flatnonzero(full >= self.least[visited])
+        self.scored += len(chosen)
+        if not len(chosen):
+            return set()
+        number[:] = -1
+        number[visited[chosen]] = np.arange(len(chosen))
+        entries = np.concatenate([at, hit])
+        entries = entries[number[self.in_block[entries]] >= 0]
+        posts = _ranges(self.entry[entries], self.entry[entries + 1])
+        slot = number[self.place[posts] // self.block] * self.block + self.place[posts] % self.block
+        scores = np.bincount(slot, weights=self.impact[posts], minlength=len(chosen) * self.block)
+        chunk = (visited[chosen][:, None] * self.block + np.arange(self.block)[None, :]).ravel()
+        return set(self.owner[chunk[scores >= self.need[chunk] - 1e-4]].tolist())
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    size = end - begin
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum())) if len(size) else np.zeros(0, dtype=np.int64)
 
 
 def leaked(index: Index, text: str, run: int, reach: int, share: float) -> list[tuple[int, int, float | None]]:
@@ -250,24 +304,24 @@ def leaked(index: Index, text: str, run: int, reach: int, share: float) -> list[
     present = np.zeros(index.size, dtype=bool)
     present[words[words >= 0]] = True
     for i in hits:
-        if index.items[i].best_share(present, run) >= share:
+        if index.item(i).best_share(present, run) >= share:
             raw = raw or segments(letters(text))
-            best[i] = index.items[i].longest_run(raw, folded, reach)
+            best[i] = index.item(i).longest_run(raw, folded, reach)
     found = [(i, k) for i, k in sorted(best.items()) if k >= run]
-    every = {w for x in folded for w in x} if any(index.items[i].question for i, _ in found) else set()
-    return [(i, k, len(q & every) / len(q) if (q := index.items[i].question) else None) for i, k in found]
+    every = {w for x in folded for w in x} if any(index.item(i).question for i, _ in found) else set()
+    return [(i, k, len(q & every) / len(q) if (q := index.item(i).question) else None) for i, k in found]
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.8, share: float = 0.9, block: int = 8, reach: int = 60, shard_chars: int = 300_000,
+    documents: DataFrame, items: DataFrame, *, run: int = 15, stride: int = 4, keep: float = 0.8, share: float = 0.9, block: int = 8, reach: int = 60, least_question: float = 0.0, pass_chars: int = 8_000_000,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", question: str = "question",
 ) -> DataFrame:
     """item_id, doc_id, n_words, question_share: each page that has `run` or more consecutive words of an item, the longest run, and the share
     of the words of four or more letters of the item's question that the page has, too (null without a question).
 
-    The documents are read in place and never shuffled: the index goes to them.  Its size follows the items (the table of bounds
-    even their square), so the items are split by a hash of their id into shards of about `shard_chars` characters, some
-    1,000 items and 100 MB, and each shard is one pass over the documents.  keep: the part of the score of a run that damage must leave (see Index).  share: the part of the weight of a
+    The documents are read in place and never shuffled: the index goes to them.  Its size is in proportion to the items' text, about 50 bytes a
+    character; items of more than pass_chars characters (some 30,000 items) are split by a hash of their id, and each part is one pass over the documents.  least_question: an item with
+    a question is only reported where the page has that share of the question's words, too.  keep: the part of the score of a run that damage must leave (see Index).  share: the part of the weight of a
     run's words that the page must have somewhere before the words are compared in order.  reach: lines of other columns that may come between.
 
     Null or empty texts leak nothing; items under `run` words can't leak; items of equal text are all reported; an
@@ -277,7 +331,7 @@ def find_leaks(
     asked = F.col(question) if question in items.columns else F.lit(None)
     held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"), asked.cast("string").alias("q")).where("i is not null and t is not null")
     total = held.agg(F.sum(F.length("t"))).first()[0] or 0
-    shards = max(1, -(-total // shard_chars))
+    shards = max(1, -(-total // pass_chars))
     pages = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t is not null and t <> ''")
     schema = f"item_id {items.schema[item_id].dataType.simpleString()}, doc_id {documents.schema[doc_id].dataType.simpleString()}, n_words int, question_share double"
     out = None
@@ -293,6 +347,8 @@ def find_leaks(
 
         found = pages.mapInPandas(search, schema)
         out = found if out is None else out.unionByName(found)
+    if least_question > 0:
+        out = out.where(F.coalesce(F.col("question_share") >= least_question, F.lit(True)))
     return out.groupBy("item_id", "doc_id").agg(F.max("n_words").alias("n_words"), F.max("question_share").alias("question_share"))
 
 

@@ -33,7 +33,7 @@ def test_leaks_in_shards_and_odd_items(spark):
         w = texts[k % 40].split()
         docs[k] += "\n" + " ".join(w[5 : 5 + (16 if k % 2 else 12)]) + "\n" + docs[k][:100]
     items = [*((i, t, None) for i, t in enumerate(texts)), (90, None, None), (91, "", "q"), (92, "too short", None), (3, texts[4], None)]
-    one, many = leaks(spark, docs, items), leaks(spark, docs, items, shard_chars=1000)
+    one, many = leaks(spark, docs, items), leaks(spark, docs, items, pass_chars=1000)
     brute = set()
     for i, t, _ in items:
         w = (t or "").lower().split()
@@ -139,3 +139,41 @@ def test_mixture(spark):
         assert abs(rep["small"].actual_share / rep["big"].actual_share - 0.5) < 0.02
     none, nothing = mixture.mix_sources(docs.limit(0), targets)
     assert none.count() == 0 and {x.status for x in nothing.collect()} == {"no documents"}
+
+
+def test_index_walk_finds_all_above_threshold_and_skips():
+    """Against the scores of all chunks, for pages with and without parts of items; most blocks are never scored."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("bdfgklmnprstvz") for _ in range(r.randint(2, 7))) for _ in range(900)]
+    often = [1 / (k + 3) for k in range(900)]
+    texts = [" ".join(r.choices(vocabulary, often, k=r.randint(5, 90))) for _ in range(150)]
+    index = leakage.Index(list(range(150)), texts, 15, 4, 0.8, 8)
+    total = 0
+    for n in range(80):
+        words = r.choices(vocabulary, often, k=r.randint(0, 200))
+        if n % 2:
+            part = texts[r.randrange(150)].split()
+            words[50:50] = part[: r.randint(8, 30)]
+        folded = [w.translate(leakage.FOLD) for w in words]
+        numbers = np.array([index.vocabulary.get(w, -1) for w in folded], dtype=np.int64)
+        rows = index.terms(numbers, np.zeros(len(numbers), dtype=bool)) if len(numbers) else np.zeros(0, dtype=np.int64)
+        scores = np.zeros(len(index.owner))
+        for e in np.flatnonzero(np.isin(index.code // max(1, index.blocks), rows)):
+            for q in range(index.entry[e], index.entry[e + 1]):
+                scores[index.place[q]] += index.impact[q]
+        assert index.candidates(rows) == set(index.owner[scores >= index.need - 1e-4].tolist())
+        total += index.blocks
+    assert index.scored < total / 10 and index.visited < 0.8 * total
+    assert leakage.Index([], [], 15, 4, 0.8, 8).candidates(np.zeros(0, dtype=np.int64)) == set()
+
+
+def test_question_as_a_condition(spark):
+    text = " ".join(f"word{chr(97 + k)}" for k in range(20))
+    pages = spark.createDataFrame([(1, text), (2, text + " where stands lighthouse")], "doc_id int, text string")
+    items = spark.createDataFrame([(7, text, "Where stands the lighthouse"), (8, text, None)], "item_id int, text string, question string")
+    got = leakage.find_leaks(pages, items, least_question=0.6).collect()
+    assert {(r.item_id, r.doc_id) for r in got} == {(7, 2), (8, 1), (8, 2)}
