@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import lru_cache
 from math import log
 
-#: Common English short forms of given names.
+#: Common English short forms of given names.
 NICKNAMES = {
     "alexander": "alex alec sandy xander", "andrew": "andy drew", "anthony": "tony", "arthur": "art artie", "barbara": "babs barb barbie", "beatrice": "bea trixie", "benjamin": "ben benny",
     "catherine": "cathy kate katie cat", "charles": "charlie chas chuck", "christina": "chris tina chrissy", "christopher": "chris kit topher", "cyril": "cy", "daniel": "dan danny", "deborah": "deb debbie",
@@ -19,16 +19,16 @@ NICKNAMES = {
     "robert": "bob bobby rob robbie bert", "roger": "rodge", "ronald": "ron ronnie", "samuel": "sam sammy", "sandra": "sandy", "sarah": "sadie sally", "stephanie": "steph", "stephen": "steve", "susan": "sue susie", "theodore": "ted teddy theo",
     "theresa": "terry tess tessie", "thomas": "tom tommy", "timothy": "tim timmy", "victoria": "vicky tori", "vincent": "vince vinny", "virginia": "ginny", "walter": "wally walt", "william": "bill billy will willie liam", "zachary": "zach zack",
 }
-#: Given names of different people that look like one name and its variant.
+#: Given names of different people that look like one name and its variant.
 APART = [frozenset(x.split("/")) for x in (
     "albert/alberta alexander/alexandra andrew/andrea carl/carla carl/karl christian/christina christian/christine daniel/danielle eric/erica frances/francis frederick/frederica gabriel/gabrielle george/georgia "
     "henry/henrietta joan/john joseph/josephine julia/julian julia/julie justin/justine karen/karl leon/leona leon/leonard louis/louise louis/lois marie/mary martin/martina michael/michelle nicholas/nicole oliver/olivia olive/oliver patricia/patrick "
     "paul/paula robert/roberta simon/simone stephan/stephanie stephen/stephanie stephan/stephen tess/tessa thomas/thomasina victor/victoria"
 ).split()]
-#: Words of a name that say little about who is meant.
+#: Words of a name that say little about who is meant.
 TITLES = frozenset("mr mrs ms miss dr prof rev sir jr sr ii iii iv md phd esq".split())
 FILLERS = frozenset("the and of co company inc incorporated corp corporation llc ltd limited".split())
-#: Abbreviations of words in the names of organisations.
+#: Abbreviations of words in the names of organisations.
 SHORT = {
     "centre": "center", "ctr": "center", "metro": "metropolitan", "assoc": "associates", "assocs": "associates", "svcs": "services", "svc": "services", "serv": "services", "acctg": "accounting", "acct": "accounting", "constr": "construction",
     "bros": "brothers", "dept": "department", "natl": "national", "intl": "international", "ptnrs": "partners", "part": "partners", "agcy": "agency", "mfg": "manufacturing", "bldg": "building", "grp": "group", "mgmt": "management", "mgt": "management",
@@ -131,10 +131,10 @@ def likeness(a: str, b: str) -> float:
 
 
 class Weights:
-    """What names in general look like: the shares of frequent tokens (others have less than `rare`)."""
+    """What names in general look like: the shares of frequent tokens (others have less than `rare`), and if given those of all tokens, by which rarity is graded."""
 
-    def __init__(self, heavy: Mapping[str, float], rare: float, established: float = 0.15):
-        self.heavy, self.rare, self.established = heavy, rare, established
+    def __init__(self, heavy: Mapping[str, float], rare: float, established: float = 0.15, shares: Mapping[str, float] | None = None):
+        self.heavy, self.rare, self.established, self.shares = heavy, rare, established, shares
         self.least = log(1 / rare)
         self.given: dict[str, list[str]] = {}
         for t in {*heavy, *NICKNAMES, *_FORMAL}:
@@ -143,6 +143,8 @@ class Weights:
         self.near_: dict[str, tuple[str, ...]] = {}
 
     def weigh(self, t: str) -> float:
+        if self.shares is not None:
+            return log(1 / self.shares[t]) * (0.3 if len(t) == 1 else 1.0) if t else 0.0
         return self.least if t not in self.heavy and len(t) > 1 else log(1 / max(self.heavy.get(t, self.rare), 1e-9)) * (0.3 if len(t) == 1 else 1.0)
 
     def alike(self, x: str, y: str) -> float:
@@ -195,6 +197,8 @@ def compare(one: Sequence[str], two: Sequence[str], w: Weights, mid1: Sequence[s
     b = [t for t in two if t not in TITLES and t not in FILLERS] or list(two)
     if not a or not b:
         return 0.0
+    if len(a) == len(b) and (not mid1 or not mid2 or list(mid1) == list(mid2)) and max(map(len, a)) > 2 and sorted(a) == sorted(b):
+        return 1.0
     if len(a) != len(b):
         a = _joined(a, b)
         b = _joined(b, a)

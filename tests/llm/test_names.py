@@ -44,13 +44,22 @@ def test_edits_against_brute_force():
 def test_prefix_filter_loses_nothing():
     r = random.Random(6)
     words = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 8))) for _ in range(60)]
-    freq = V.gram_frequencies({w: 0.01 for w in words})
-    made = [V.Name(r.sample(words, r.randint(1, 3)), freq, 0.3) for _ in range(200)]
+    order = {g: k for k, g in enumerate(r.sample(sorted(V.grams(words)), 20))}
+    codes = V.Codes(order)
+    made = [V.Name(r.sample(words, r.randint(1, 3)), codes, 0.3) for _ in range(200)]
     for x in made[:60]:
         for y in made:
             g, h = V.grams(x.words), V.grams(y.words)
-            shared = any(len(w) > 3 for w in x.words if w in y.words)
-            assert x.near(y) == (shared or len(g & h) >= 0.3 * len(g | h))
+            assert x.near(y) == (len(g & h) >= 0.3 * len(g | h))
+
+
+def test_frequencies(spark):
+    rows = [("john", "smith"), ("john", "smith"), ("mary", "smith"), ("john", None), ("", "")]
+    heavy, shares, order = V.frequencies(spark.createDataFrame(rows, "f string, l string"), "f", "l")
+    assert heavy == {} and shares["john"] == shares["smith"] == 0.5 and shares["mary"] == shares["nobody"] == 0.25
+    assert set(order) == V.grams(["john", "mary", "smith"]) and order["^m"] > order["^j"] - 1 and order["^s"] > order["ar"]
+    weights = Weights(heavy, 1e-4, shares=shares)
+    assert weights.weigh("mary") > weights.weigh("john") > 0
 
 
 def test_link_variants(spark):
