@@ -6,10 +6,11 @@ unordered node sorts them first.  Equal roots are copies, confirmed by comparing
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kithline.operators.skew import cut_lineage
 
@@ -36,11 +37,40 @@ def unordered(children: Column) -> Column:
     return F.xxhash64(F.lit("unordered"), F.array_sort(children))
 
 
-def collapse_copies(records: DataFrame, *, key: str, exact: Sequence[str], free: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def normalised(c: Column, kind: T.DataType, text: Callable[[Column], Column], loose: bool) -> Column:
+    """A nested value with its leaves as texts, normalised, and the fields of structs in order of name; loose: the elements of arrays in ascending order, too.  Maps are arrays of their entries, always in order."""
+    inner = lambda v, k: normalised(v, k, text, loose)
+    if isinstance(kind, T.StructType):
+        fields = [inner(c[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(sorted(kind.fields, key=lambda f: f.name))]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        out = F.transform(c, lambda v: inner(v, kind.elementType))
+        return F.array_sort(out) if loose else out
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(inner(e["key"], kind.keyType).alias("k"), inner(e["value"], kind.valueType).alias("v"))))
+    return text(c.cast("string"))
+
+
+def digest(c: Column, kind: T.DataType, loose: bool) -> Column:
+    """Digest of a normalised value, from the leaves upwards; a null at any level has that of a null leaf."""
+    if isinstance(kind, T.StructType):
+        out = ordered(*[digest(c[f"f{i}"], f.dataType, loose) for i, f in enumerate(sorted(kind.fields, key=lambda f: f.name))])
+    elif isinstance(kind, T.ArrayType):
+        children = F.transform(c, lambda v: digest(v, kind.elementType, loose))
+        out = unordered(children) if loose else F.xxhash64(F.lit("list"), children)
+    elif isinstance(kind, T.MapType):
+        out = unordered(F.transform(c, lambda e: ordered(digest(e["k"], kind.keyType, loose), digest(e["v"], kind.valueType, loose))))
+    else:
+        return leaf(c)
+    return F.when(c.isNull(), leaf(F.lit(None))).otherwise(out)
+
+
+def collapse_copies(records: DataFrame, *, key: str, exact: Sequence[str], free: Sequence[str], loose: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(collapsed, copies) of records equal but for formatting.
 
     Two records are copies if the columns `exact` are equal as they stand (null equals null) and the columns `free`, reduced
-    to letters and digits in lower case, hold the same values in whatever order, fields without letters counting as absent.
+    to letters and digits in lower case, hold the same values in whatever order, fields without letters counting as absent.  Columns of exact may be
+    nested; columns of loose, texts or nested values, are equal if their leaves are, reduced like that, and arrays in them hold the same in whatever order.
 
     collapsed: key (the smallest), n_copies: one row for each record.  copies: pair_id_a (smallest key), pair_id_b: one row for every other copy.
     A repeated key is one more copy in n_copies, and a row of copies only if it differs from the smallest.  Keys must not be null.
@@ -50,9 +80,10 @@ def collapse_copies(records: DataFrame, *, key: str, exact: Sequence[str], free:
     joins nothing that differs.  In joins, the rows of a large group are split by salt (see HOT).
     """
     kept = F.array_compact(F.array(*[field_letters(c) for c in free])) if free else F.array().cast("array<string>")
-    tree = F.struct(*[F.col(c).cast("string").alias(f"e{i}") for i, c in enumerate(exact)], F.array_sort(kept).alias("free"))
-    rows = records.select(F.col(key).alias("_key"), tree.alias("_tree"))
-    root = ordered(*[leaf(F.col(f"_tree.e{i}")) for i in range(len(exact))], unordered(F.transform("_tree.free", leaf)))
+    kinds = [(c, records.schema[c].dataType, False) for c in exact] + [(c, records.schema[c].dataType, True) for c in loose]
+    nodes = [normalised(F.col(c), t, field_letters if free_ else lambda x: x, free_).alias(f"e{i}") for i, (c, t, free_) in enumerate(kinds)]
+    rows = records.select(F.col(key).alias("_key"), F.struct(*nodes, F.array_sort(kept).alias("free")).alias("_tree"))
+    root = ordered(*[digest(F.col(f"_tree.e{i}"), t, free_) for i, (_, t, free_) in enumerate(kinds)], unordered(F.transform("_tree.free", leaf)))
     rows = rows.withColumn("_root", root)
     state = rows.groupBy("_root").agg(F.min("_key").alias("_min"), F.count(F.lit(1)).alias("_n"))
     parts = F.when(F.col("_n") > HOT, SALT).otherwise(1)

@@ -143,3 +143,17 @@ def test_anneal_against_all_assignments():
         best = min(map(total, itertools.product(range(3), repeat=7)))
         found = min(splits.anneal(units, gap([0] * 7), [0] * 7, seed, 3000) for seed in range(4))
         assert abs(found[0] - total(found[1])) < 1e-9 and found[0] <= best + 1e-9
+
+
+def test_copies_of_nested_records(spark):
+    kind = "id int, who struct<name:string,tags:array<string>,more:map<string,array<int>>>, seen array<struct<d:string,n:int>>"
+    rows = [
+        (1, ("Ann Li", ["a", "b!"], {"x": [1, 2]}), [("d1", 1), (None, 2)]), (2, ("ann-li", ["B", "A "], {"X": [2, 1]}), [("d1", 1), (None, 2)]),  # spelling and order within the loose column
+        (3, ("Ann Li", ["a", "b"], {"x": [1, 2]}), [(None, 2), ("d1", 1)]),  # the exact column's order counts
+        (4, ("Ann Li", ["a", "b", "b"], {"x": [1, 2]}), [("d1", 1), (None, 2)]), (5, ("Ann Li", ["a", None], {"x": [1, 2]}), [("d1", 1), (None, 2)]),
+        (6, None, None), (7, None, None), (8, (None, None, None), None), (9, ("", [], {}), []),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    collapsed, copies = merkle.collapse_copies(df, key="id", exact=["seen"], free=[], loose=["who"])
+    assert {(r.pair_id_a, r.pair_id_b) for r in copies.collect()} == {(1, 2), (6, 7)}
+    assert {r.id: r.n_copies for r in collapsed.collect()} == {1: 2, 3: 1, 4: 1, 5: 1, 6: 2, 8: 1, 9: 1}
