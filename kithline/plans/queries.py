@@ -126,6 +126,14 @@ def pairs_union_all(spark: SparkSession, d: str) -> DataFrame:
     return pairs.all_pairs(n[1], n[2], n[3]).groupBy("phone_number").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+@query("""WITH a AS (SELECT DISTINCT phone_number, lower(first_name) AS first_name, lower(middle_name) AS middle_name, lower(last_name) AS last_name FROM name1 WHERE first_name IS NOT NULL AND last_name IS NOT NULL),
+    b AS (SELECT phone_number, count(*) AS n FROM (SELECT DISTINCT phone_number, lower(first_name), lower(middle_name), lower(last_name) FROM name2 WHERE first_name IS NOT NULL AND last_name IS NOT NULL) GROUP BY 1)
+    SELECT a.*, coalesce(n, 0) AS n_links FROM a LEFT JOIN b ON a.phone_number = b.phone_number""")
+def pairs_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row per name of the first file with the number of its partners in the second."""
+    return pairs.link_counts(_distinct(spark, d, 1), _distinct(spark, d, 2))
+
+
 _NA_SQL = "CASE WHEN {0} IN ('', ' ', '  ', '-', 'NULL', 'NA', '''na') THEN NULL ELSE {0} END AS {0}"
 _EXP = ["primary_key", "primary_phone", "match_code", "first_name", "last_name", "middle_initial"]
 

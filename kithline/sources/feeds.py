@@ -11,8 +11,15 @@ from pyspark.sql import types as T
 from kithline.functions.text import NA_TOKENS, null_tokens
 
 
-def read_text_feed(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",", na: Sequence[str] = NA_TOKENS) -> DataFrame:
-    """A delimited file with a header, all columns as text, without inference; texts for missing values become null."""
+def separator(spark: SparkSession, path: str, among: Sequence[str] = ("\t", ",", ";", "|")) -> str:
+    """The sign that occurs most often in the first line of a delimited file; the first of equal ones."""
+    row = spark.read.text(path).first()
+    return max(among, key=row[0].count) if row else among[0]
+
+
+def read_text_feed(spark: SparkSession, path: str, columns: Sequence[str], sep: str | None = None, na: Sequence[str] = NA_TOKENS) -> DataFrame:
+    """A delimited file with a header, all columns as text, without inference; texts for missing values become null.  The separator is found if it isn't given."""
+    sep = sep or separator(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return null_tokens(spark.read.csv(path, schema=schema, header=True, sep=sep, nullValue=None, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False), na)
 
@@ -44,6 +51,12 @@ def write_review(pairs: DataFrame, directory: str, key: str = "phone_number") ->
     pairs.select(*cols, "keep").write.mode("overwrite").parquet(f"{directory}/pairs")
 
 
+def write_stage(tables: dict[str, DataFrame], directory: str) -> None:
+    """What a stage hands to the next (name tables, pairs, features, train and test rows, predictions), each as a Parquet table of its name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{directory}/{name}")
+
+
 def write_reports(tables: dict[str, DataFrame], directory: str) -> None:
     """Small report tables, one CSV folder each."""
     for name, df in tables.items():

@@ -68,6 +68,8 @@ def test_block_pairs_against_brute_force(spark):
         got = Counter((x.first_name1, x.first_name2) for x in pairs.block_pairs(df, df, null_safe=safe, hot_share=0.1).collect())
         assert got == Counter((a[1], b[1]) for a in rows for b in rows if (a[0] == b[0] and (a[0] is not None or safe)))
     assert pairs.block_pairs(df.limit(0), df).count() == 0
+    links = {x.first_name: x.n_links for x in pairs.link_counts(df, df).collect()}
+    assert links == {a[1]: sum(a[0] is not None and a[0] == b[0] for b in rows) for a in rows} and pairs.link_counts(df.limit(0), df).count() == 0
 
 
 def test_masks(spark):

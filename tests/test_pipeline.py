@@ -87,10 +87,14 @@ def test_grid_and_estimators():
 def test_feeds_and_pairs(spark, tmp_path):
     (tmp_path / "f.txt").write_text("primary_key\tprimary_phone\tmatch_code\tfirst_name\tlast_name\tmiddle_initial\n1\t(555) 123-4567\tx\tAnn\t Smith \t-\n2\tNA\tx\tBob\tNULL\tj\n1\t555.123.4567\tx\tann\tsmith\t\n")
     raw = feeds.read_text_feed(spark, str(tmp_path / "f.txt"), ["primary_key", "primary_phone", "match_code", "first_name", "last_name", "middle_initial"], sep="\t")
+    assert feeds.separator(spark, str(tmp_path / "f.txt")) == "\t"
+    assert feeds.read_text_feed(spark, str(tmp_path / "f.txt"), raw.columns).collect() == raw.collect()
     names = pipeline.clean_exp(raw)
     assert [tuple(r) for r in names.collect()] == [(5551234567, "ann", None, "smith")]
     a, b, c = pipeline.build_names([names, names, names], "salt")
     assert {r.phone_number for r in a.collect()} == {r.phone_number for r in b.collect()} != {5551234567}
+    feeds.write_stage({"name1": a, "name2": b}, str(tmp_path / "stage"))
+    assert feeds.read_table(spark, str(tmp_path / "stage/name1")).collect() == a.collect()
     made = pipeline.build_pairs(a, b, c)
     assert made.count() == 5 and set(pairs.NAME) and made.where("keep = 1").count() == 0
     feeds.write_review(made, str(tmp_path / "out"))
