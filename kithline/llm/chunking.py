@@ -57,7 +57,8 @@ def split_text(text: str, limit: int, overlap: int, enc, fill: float = 0.5) -> l
     """Pieces of a text as (first token, token after the last, first char, char after the last, kind of cut).
 
     One piece if the text has at most `limit` tokens.  A piece has at least `fill` of the limit, unless it is the last, and
-    never more tokens than the limit, neither as a slice of the page's tokens nor tokenised on its own.
+    never more tokens than the limit, neither as a slice of the page's tokens nor tokenised on its own.  Where the least piece after an overlap has more,
+    the overlap is shortened; where the least piece without one has, which takes a limit of a few tokens, it's an error.
     """
     ids = enc.encode_ordinary(text)
     n = len(ids)
@@ -82,9 +83,14 @@ def split_text(text: str, limit: int, overlap: int, enc, fill: float = 0.5) -> l
                 key = best.query(start + max(overlap + 1, int(most * fill)), start + most)
                 end, kind = key % (n + 1), KINDS[max(0, key // (n + 1))]
             # the slice's own tokens can differ at its edges
-            if len(enc.encode_ordinary(text[at[start] : at[end]])) <= limit or most <= overlap + 2:
+            if len(enc.encode_ordinary(text[at[start] : at[end]])) <= limit:
                 break
-            most -= 1 + (most > limit // 2)
+            if most > overlap + 2:
+                most -= 1 + (most > limit // 2)
+            elif out and start < out[-1][1]:  # it can't keep the whole overlap
+                start, most = next(k for k in range(start + 1, out[-1][1] + 1) if whole[k]), limit
+            else:
+                raise ValueError("a piece of the least size has more tokens by itself than the limit")
         out.append((start, end, int(at[start]), int(at[end]), kind))
         if end == n:
             return out
