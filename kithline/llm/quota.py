@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithline.operators.skew import distributed_rank, unit_hash
+from kithline.operators.skew import cut_lineage, distributed_rank, unit_hash
 
 
 class Flow:
@@ -130,14 +131,21 @@ def category_quotas(have: dict[str, int], targets: dict[str, tuple[float, int]],
     return out
 
 
+def _round(cells: pd.DataFrame) -> pd.DataFrame:
+    """The cells of one group of strata, rounded."""
+    got = controlled_rounding({(c, s): x for c, s, x in zip(cells["_c"], cells["_s"], cells["x"])})
+    return pd.DataFrame([(c, s, q) for (c, s), q in got.items()], columns=["_c", "_s", "_quota"])
+
+
 def sample_to_targets(
     rows: DataFrame, targets: DataFrame, *, key: str, category: str = "category", stratum: Column | None = None, fraction: float = 1 / 3, size: int | None = None, seed: int = 11, max_cells: int = 100_000
 ) -> tuple[DataFrame, DataFrame]:
     """(sample, report): rows drawn so that the categories have their target shares.
 
     stratum: a second attribute whose distribution within each category the sample keeps (default: none, one stratum).  size: rows to
-    draw, by default `fraction` of the rows with a category, rounded down.  The quota table has categories x strata cells and passes through
-    the driver; more than max_cells is an error.  A row is drawn by the hash of its key and the seed: same input, same sample.
+    draw, by default `fraction` of the rows with a category, rounded down.  The quota table has categories x strata cells.  Up to max_cells are rounded at once, on
+    the driver; of more, groups of strata are the columns of a first table, and each group's own table, whose rows sum to what the group got, is rounded in a task.  More than max_cells
+    categories in targets are an error.  A row is drawn by the hash of its key and the seed: same input, same sample.
 
     sample: the rows with all their columns.  report: category, target_share, min_rows, available, wanted (share of size, a fraction), drawn,
     actual_share, below_min, below_share (fewer rows available than min_rows, or than the share of size), off (actual_share less the target share), met: the drawn sample has min_rows rows of the category, and its
@@ -150,10 +158,15 @@ def sample_to_targets(
         raise ValueError("targets need one row per category")
     # a row travels as one value, so its columns can't clash with those made here
     cellof = rows.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("_row"), F.col(key).alias("_key"), F.col(category).cast("string").alias("_category"), (stratum if stratum is not None else F.lit("all")).cast("string").alias("_stratum"))
-    counts = cellof.where("_category is not null").groupBy("_category", "_stratum").agg(F.count(F.lit(1)).alias("n")).limit(max_cells + 1).collect()
-    if len(counts) > max_cells:
-        raise ValueError("too many cells; choose a coarser stratum")
-    labelled = sum(r.n for r in counts)
+    every = cut_lineage(cellof.where("_category is not null").groupBy("_category", "_stratum").agg(F.count(F.lit(1)).alias("n")))
+    labelled = every.agg(F.sum("n")).first()[0] or 0
+    every = every.where(F.col("_category").isin(list(wanted)))
+    groups = -(-every.count() // max_cells)
+    place = F.pmod(F.xxhash64(F.lit("strata"), "_stratum"), F.lit(max(1, groups)))
+    if groups > 1:
+        counts = every.groupBy("_category", place.alias("_stratum")).agg(F.sum("n").alias("n")).collect()
+    else:
+        counts = every.collect()
     n = size if size is not None else labelled // 3 if fraction == 1 / 3 else math.floor(labelled * fraction)
     have: dict[str, int] = {}
     for r in counts:
@@ -162,9 +175,15 @@ def sample_to_targets(
     table = {(r._category, r._stratum): quota[r._category] * r.n / have[r._category] for r in counts if quota.get(r._category)}
     whole = controlled_rounding(table) if table else {}
     spark = rows.sparkSession
-    cells = spark.createDataFrame([(c, s, q) for (c, s), q in whole.items() if q], "_c string, _s string, _quota long")
+    if groups > 1:
+        total = {(r._category, r._stratum): r.n for r in counts}
+        got = spark.createDataFrame([(c, g, q, total[c, g]) for (c, g), q in whole.items() if q], "_c string, _h long, _q long, _of long")
+        inside = every.withColumn("_g", place).join(got, (F.col("_category") == F.col("_c")) & (F.col("_g") == F.col("_h"))).select("_g", "_c", F.col("_stratum").alias("_s"), (F.col("_q") * F.col("n") / F.col("_of")).alias("x"))
+        cells = cut_lineage(inside.groupBy("_g").applyInPandas(_round, "_c string, _s string, _quota long").where("_quota > 0"))
+    else:
+        cells = F.broadcast(spark.createDataFrame([(c, s, q) for (c, s), q in whole.items() if q], "_c string, _s string, _quota long"))
     ranked = distributed_rank(cellof.where(F.col("_category").isin([c for c, q in quota.items() if q])).withColumn("_u", unit_hash("_key", seed)), ["_category", "_stratum"], "_u", "_key", "_rank")
-    sample = ranked.join(F.broadcast(cells), (F.col("_category") == F.col("_c")) & F.col("_stratum").eqNullSafe(F.col("_s"))).where("_rank <= _quota").select("_row.*")
+    sample = ranked.join(cells, (F.col("_category") == F.col("_c")) & F.col("_stratum").eqNullSafe(F.col("_s"))).where("_rank <= _quota").select("_row.*")
     drawn = sum(quota.values())
     weight = sum(w for w, _ in wanted.values()) or 1.0
 
