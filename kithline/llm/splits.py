@@ -12,7 +12,7 @@ import random
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithline.operators.skew import cut_lineage
@@ -76,6 +76,31 @@ def anneal(units: Sequence[Unit], gap: list[list[float]], start: Sequence[int],
     return best, best_at
 
 
+def connected(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """node, component: for each value of the keys, as linked_value has it, the least value that rows link it with, directly or through others.
+
+    Values are linked by the rows that have both; each distinct link counts once, so a value that a third of the rows have costs no more than its partners.
+    Every round takes the least label among neighbours (with partial aggregation) and then the label of that label, so chains halve.
+    """
+    values = F.array_compact(F.array(*[linked_value(i, c) for i, c in enumerate(keys)]))
+    pairs = rows.select(values.alias("v")).where("size(v) > 0").select(F.col("v")[0].alias("a"), F.explode("v").alias("b")).distinct()
+    edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
+    while True:
+        near = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        far = label.select(F.col("node").alias("near"), F.col("component").alias("far"))
+        new = label.join(near, "node").join(far, "near").select("node", F.least("component", "near", "far").alias("new"), "component")
+        new = cut_lineage(new)
+        if new.where("new <> component").isEmpty():
+            return new.select("node", "component")
+        label = new.select("node", F.col("new").alias("component"))
+
+
+def linked_value(i: int, c: str) -> Column:
+    """A key's value as a node; null for null."""
+    return F.when(F.col(c).isNotNull(), F.xxhash64(F.lit("value"), F.lit(i), F.col(c).cast("string")))
+
+
 def _chain(gap: list[list[float]], total: int, seed: tuple[int, int], proposals: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """One annealing chain over the units of a group."""
 
@@ -89,11 +114,12 @@ def _chain(gap: list[list[float]], total: int, seed: tuple[int, int], proposals:
 
 
 def split_components(
-    rows: DataFrame, targets: DataFrame, *, component: str, row_key: str, label: str, seed: int = 5, chains: int = CHAINS, proposals: int = PROPOSALS, group: int = GROUP
+    rows: DataFrame, targets: DataFrame, *, component: str | Sequence[str], row_key: str, label: str, seed: int = 5, chains: int = CHAINS, proposals: int = PROPOSALS, group: int = GROUP
 ) -> tuple[DataFrame, DataFrame]:
     """(assigned, report): every row with a column `split`, and the shares reached.
 
-    All rows of one value of `component` get the same split; rows without one stand alone.  targets: split_name, target_share (in
+    All rows of one value of `component` get the same split; rows without one stand alone.  Of several columns, rows that share a value of any of them, directly or
+    through other rows, are one component.  targets: split_name, target_share (in
     proportion).  report: label ("all rows" for the first), split, n_rows, actual_share, target_share.
 
     What is minimised is the sum over splits of |share of rows - target| plus, weighted by the square root of its size, the same sum for each label; null labels
@@ -110,6 +136,14 @@ def split_components(
         raise ValueError("targets need 1 to 1000 splits with positive shares")
     share = [w / sum(w for _, w in wanted) for _, w in wanted]
     k = len(share)
+    given = rows
+    if not isinstance(component, str):
+        # a row's component is that of any of its values
+        of = connected(rows, component).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        node = F.coalesce(*[linked_value(i, c) for i, c in enumerate(component)])
+        boxed = rows.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("_all"), node.alias("_first"))
+        rows = boxed.join(of, F.col("_first") == F.col("_node"), "left").select("_all.*", "_component")
+        component = "_component"
     lone, text = F.col(component).isNull(), F.col(component).cast("string")
     unit = F.when(lone, F.xxhash64(F.lit(seed), F.lit("row"), F.col(row_key))).otherwise(F.xxhash64(F.lit(seed), F.lit("component"), text))
     # the hashed assignment: a unit's hash picks a split with the target's probability
@@ -155,7 +189,7 @@ def split_components(
             break
         copies = max(1, chains // many)
 
-        dealt = units.where(chosen).withColumn("g", place.cast("int")).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        dealt = units.where(chosen).withColumn("g", place.cast("int")).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(copies * many, "g", "chain")
         done = cut_lineage(dealt.groupBy("g", "chain").applyInPandas(_chain(gap, total, (seed, r), proposals), "g int, chain int, _u long, deviation double, at int"))
         best = done.groupBy("g").agg(F.min(F.struct("deviation", "chain")).alias("b")).select("g", F.col("b.chain").alias("chain"))
         new = done.join(best, ["g", "chain"]).select("_u", F.col("at").alias("new"))
@@ -163,7 +197,7 @@ def split_components(
     moved = units.where("at <> start")
     is_hot = F.col("n") >= max(2.0, total * HOT)
     hot, cold = moved.where(is_hot).select(F.col("_u").alias("_uh"), F.col("at").alias("_h")), moved.where(~is_hot).select(F.col("_u").alias("_uc"), F.col("at").alias("_c"))
-    kept = [f"`{c}`" for c in rows.columns if c.lower() != "split"]
+    kept = [f"`{c}`" for c in given.columns if c.lower() != "split"]
     boxed = rows.select(F.struct(*kept).alias("_row"), unit.alias("_u"), F.xxhash64(F.lit("spread"), F.col(row_key)).alias("_s"))
     every_hot = F.broadcast(units.where(is_hot).select(F.col("_u").alias("_ua"), F.lit(True).alias("_is")))
     out = boxed.join(every_hot, F.col("_u") == F.col("_ua"), "left").join(F.broadcast(hot), F.col("_u") == F.col("_uh"), "left")

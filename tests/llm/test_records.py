@@ -92,6 +92,13 @@ def test_sample(spark):
     for (c, s), k in strata.items():
         assert abs(k - by[c].drawn * have[c, s] / by[c].available) < 1 + 1e-6
     assert {x.id for x in quota.sample_to_targets(df.repartition(7), targets, key="id", stratum=F.col("s"))[0].collect()} == {x.id for x in got}
+    # a finer stratum with more cells than one table may have: the same categories, each stratum at its share
+    fine = F.concat("s", (F.col("id") % 3).cast("string"))
+    parts, again = quota.sample_to_targets(df, targets, key="id", stratum=fine, max_cells=10)
+    assert Counter(x.category for x in parts.collect()) == {k: v.drawn for k, v in by.items() if v.drawn} and sorted(again.collect()) == sorted(report.collect())
+    many = Counter((x[1], x[2] and x[2] + str(x[0] % 3)) for x in rows)
+    got_fine = Counter((x.category, x.s and x.s + str(x.id % 3)) for x in parts.collect())
+    assert all(abs(k - by[c].drawn * many[c, s] / by[c].available) < 2 + 1e-6 for (c, s), k in got_fine.items())
     empty, rep = quota.sample_to_targets(df.limit(0), targets, key="id")
     assert empty.count() == 0 and rep.count() == 4
 
@@ -157,3 +164,31 @@ def test_copies_of_nested_records(spark):
     collapsed, copies = merkle.collapse_copies(df, key="id", exact=["seen"], free=[], loose=["who"])
     assert {(r.pair_id_a, r.pair_id_b) for r in copies.collect()} == {(1, 2), (6, 7)}
     assert {r.id: r.n_copies for r in collapsed.collect()} == {1: 2, 3: 1, 4: 1, 5: 1, 6: 2, 8: 1, 9: 1}
+
+
+def test_splits_by_several_keys(spark):
+    """Rows that share an author or a source, directly or through others, stay together; components against a search."""
+    r = random.Random(5)
+    rows = [(i, r.choice([None, *range(140)]), r.choice([None, *range(140)]), r.choice("xy")) for i in range(150)] + [(1000 + k, 500 + k, 500 + k + k % 2, "x") for k in range(0, 30)]
+    df = spark.createDataFrame(rows, "id int, author int, source int, category string")
+    targets = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split_name string, target_share double")
+    got = {x.id: x.split for x in splits.split_components(df, targets, component=["author", "source"], row_key="id", label="category")[0].collect()}
+    by, left = defaultdict(set), {x[0]: x for x in rows}
+    for i, a, s, _ in rows:
+        for k in (("a", a), ("s", s)):
+            if k[1] is not None:
+                by[k].add(i)
+    while left:
+        i, todo = next(iter(left)), set()
+        todo = {i}
+        members = set()
+        while todo:
+            j = todo.pop()
+            members.add(j)
+            _, a, s, _ = left.pop(j)
+            todo |= {m for k in (("a", a), ("s", s)) for m in by.get(k, ()) if m in left}
+        assert len({got[m] for m in members}) == 1
+    assert set(got) == {x[0] for x in rows} and set(got.values()) == {"train", "test"}
+    nodes = {x.node: x.component for x in splits.connected(df, ["author", "source"]).collect()}
+    assert len(nodes) == len(by)
+    assert splits.split_components(df.limit(0), targets, component=["author", "source"], row_key="id", label="category")[0].count() == 0
