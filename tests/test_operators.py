@@ -155,3 +155,12 @@ def test_evaluate(spark):
     assert rows["Totals"].Rate == "2/4" and rows["Match"]["No Match"] == 1
     assert evaluate.best_f1_threshold(df.dropna(), "prob", "category") == 0.5
     assert evaluate.roc_points(df.limit(0), "prob", "category").count() == 0
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        sc = N(getCheckpointDir=lambda: None, getConf=dict, master=master)
+        with pytest.raises(ValueError):
+            skew.cut_lineage(N(sparkSession=N(sparkContext=sc)))
