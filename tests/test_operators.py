@@ -72,6 +72,15 @@ def test_block_pairs_against_brute_force(spark):
     assert links == {a[1]: sum(a[0] is not None and a[0] == b[0] for b in rows) for a in rows} and pairs.link_counts(df.limit(0), df).count() == 0
 
 
+def test_hot_keys_are_carried_few_times(spark):
+    """A key that holds all rows was carried once on the left and 100 times on the right."""
+    df = spark.range(400).selectExpr("int(1) as phone_number", "string(id) as first_name", "'m' as middle_name", "'l' as last_name")
+    a, b = pairs._celled(df, df, "phone_number", False, 0.01)
+    assert a.count() + b.count() <= 400 * 2 * 5 and a.select("_cell").distinct().count() == b.select("_cell2").distinct().count() > 8
+    got = pairs.block_pairs(df, df, hot_share=0.01).select("first_name1", "first_name2")
+    assert got.count() == got.distinct().count() == 160_000
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(5551234567,), (5551234568,), (None,)], "p long")
     m = df.select("p", pairs.mask_key("p", "s").alias("m")).collect()
