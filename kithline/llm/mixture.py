@@ -105,7 +105,9 @@ def mix_sources(
 
     A document's rate is exp(a_s + l_s * tokens / mean), capped at max_repeats of its source s: the rates nearest, in relative
     entropy, to using each document once under two constraints for each source, its tokens and the mean size of what is used, which keeps short documents
-    from being preferred.  The convex dual has two unknowns per source and is solved by Newton steps; each step is one distributed aggregation over the
+    from being preferred.  A document of more tokens than its source's budget can't be in the mixture and has rate 0, so the others have to make up for it in
+    tokens and in the mean size; without such documents one rate for all is the solution.  Where the others can't meet both constraints, none is
+    left out beforehand.  The convex dual has two unknowns per source and is solved by Newton steps; each step is one distributed aggregation over the
     (source, size) counts, which are sufficient
     because documents of one source and size share a rate.  Rates become copies by systematic sampling along the sizes and exchanges of single copies
     (see whole_copies), per source and over its distinct sizes, of which there are no more than the longest document has tokens.  Within a size, copies go to
@@ -133,38 +135,43 @@ def mix_sources(
     full = {s for s in per if budget.get(s, 0) >= capacity[s] * (1 - 1e-12)}
     # level and tilt; the start is the solution wherever no document is capped
     dual = {s: (100.0, 0.0) if s in full else (math.log(max(budget.get(s, 0.0), 1e-9) / r.tokens), 0.0) for s, r in per.items()}
+    start, longest, unmet = dict(dual), {s: budget.get(s, 0.0) if s not in full else math.inf for s in per}, set()
     spark = documents.sparkSession
 
     def params() -> DataFrame:
-        return F.broadcast(spark.createDataFrame([(s, *map(float, dual[s]), float(scale[s]), float(budget.get(s, 0.0))) for s in per], "source string, level double, tilt double, scale double, budget double"))
+        return F.broadcast(spark.createDataFrame([(s, *map(float, dual[s]), float(scale[s]), float(budget.get(s, 0.0)), float(longest[s])) for s in per], "source string, level double, tilt double, scale double, budget double, longest double"))
 
-    rate = _rate(F.col("level"), F.col("tilt"), F.col("n_tokens"), F.col("scale"), F.col("max_repeats"))
+    fits = F.col("n_tokens") <= F.col("longest")
+    rate = F.when(fits, _rate(F.col("level"), F.col("tilt"), F.col("n_tokens"), F.col("scale"), F.col("max_repeats"))).otherwise(0.0)
     for _ in range(rounds if per else 0):
         x, mass = F.col("n_tokens") / F.col("scale"), F.col("n") * rate
-        free = F.when(rate < F.col("max_repeats"), mass).otherwise(0.0)
+        free = F.when(fits & (rate < F.col("max_repeats")), mass).otherwise(0.0)
         sums = [F.sum(v).alias(k) for k, v in {"g0": mass, "g1": mass * x, "h00": free, "h01": free * x, "h11": free * x * x}.items()]
-        open_ = False
+        unmet.clear()
         for r in cells.join(params(), "source").groupBy("source").agg(*sums).collect():
             want = budget.get(r.source, 0.0) / scale[r.source]  # of documents and of tokens in mean sizes alike
             e0, e1 = want - r.g0, want - r.g1
             if r.source in full or max(abs(e0), abs(e1)) <= tolerance * max(1.0, want):
                 continue
-            open_ = True
+            unmet.add(r.source)
             ridge = 1e-9 * (r.h00 + r.h11) + 1e-12
             a, b, c = r.h00 + ridge, r.h01, r.h11 + ridge
             det = a * c - b * b
             da, dt = (c * e0 - b * e1) / det, (a * e1 - b * e0) / det
             short = min(1.0, 1.5 / max(abs(da), abs(dt), 1e-12))
             dual[r.source] = (dual[r.source][0] + short * da, dual[r.source][1] + short * dt)
-        if not open_:
+        if not unmet:
             break
-    exact = cells.join(params(), "source").select("source", "n_tokens", "n", "max_repeats", "budget", (F.col("n") * rate).alias("want")) if per else None
+    for s in unmet:
+        dual[s], longest[s] = start[s], math.inf
+    most = F.when(fits, F.col("n") * F.col("max_repeats")).otherwise(0)
+    exact = cells.join(params(), "source").select("source", "n_tokens", "n", most.alias("most"), "budget", (F.col("n") * rate).alias("want")) if per else None
     if exact is None:
         mixture = sized.withColumn("copies", F.lit(0)).where("copies > 0")
     else:
         def whole(cell: pd.DataFrame) -> pd.DataFrame:
             cell = cell.sort_values("n_tokens")
-            got = whole_copies(cell["n_tokens"].to_numpy(), cell["want"].to_numpy(), (cell["n"] * cell["max_repeats"]).to_numpy(), float(cell["budget"].iloc[0]))
+            got = whole_copies(cell["n_tokens"].to_numpy(), cell["want"].to_numpy(), cell["most"].to_numpy(), float(cell["budget"].iloc[0]))
             return cell[["source", "n_tokens", "n"]].assign(quota=got)
 
         quota = cut_lineage(exact.groupBy("source").applyInPandas(whole, "source string, n_tokens long, n long, quota long"))

@@ -141,6 +141,19 @@ def test_mixture(spark):
     assert none.count() == 0 and {x.status for x in nothing.collect()} == {"no documents"}
 
 
+def test_mixture_is_balanced_without_documents_beyond_the_budget(spark):
+    """The mean size of the source is kept though its longest document can't be used; the rates were never changed by Newton steps before, and the mean was 21."""
+    sizes = [10] * 400 + [30] * 400 + [2500]
+    docs = spark.createDataFrame([(k, "a", " ".join(["one"] * n)) for k, n in enumerate(sizes)], "doc_id int, source string, text string")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    got = mixture.mix_sources(docs, targets, total_tokens=2000)[0].collect()
+    assert abs(sum(x.n_tokens * x.copies for x in got) - 2000) <= 10 and max(x.n_tokens for x in got) <= 30
+    assert abs(sum(x.n_tokens for x in got) / len(got) - sum(sizes) / len(sizes)) < 0.7
+    # where nothing else could make up for it
+    alone = mixture.mix_sources(docs.where("doc_id >= 799"), targets, total_tokens=2000)[0].collect()
+    assert {x.n_tokens for x in alone} == {2500}
+
+
 def test_index_walk_finds_all_above_threshold_and_skips():
     """Against the scores of all chunks, for pages with and without parts of items; most blocks are never scored."""
     import random
