@@ -62,12 +62,17 @@ def edits(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance, or more than `most`."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    i, m, n = 0, len(a), len(b)
+    least = m if m < n else n
+    while i < least and a[i] == b[i]:
+        i += 1
+    while m > i and n > i and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    a, b = a[i:m], b[i:n]
     if not a or not b:
         return len(a) + len(b)
+    if most == 1:  # one letter replaced, or two neighbours in the other order
+        return 1 if len(a) == len(b) == 1 or (len(a) == len(b) == 2 and a == b[::-1]) else 2
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -136,13 +141,21 @@ class Weights:
     def __init__(self, heavy: Mapping[str, float], rare: float, established: float = 0.15, shares: Mapping[str, float] | None = None):
         self.heavy, self.rare, self.established, self.shares = heavy, rare, established, shares
         self.least = log(1 / rare)
-        self.given: dict[str, list[str]] = {}
+        self.given: dict[tuple[str, int], list[str]] = {}
         for t in {*heavy, *NICKNAMES, *_FORMAL}:
             if len(t) > 2:
-                self.given.setdefault(t[0], []).append(t)
+                self.given.setdefault((t[0], len(t)), []).append(t)
         self.near_: dict[str, tuple[str, ...]] = {}
+        self.weighed: dict[str, float] = {}
 
     def weigh(self, t: str) -> float:
+        if t not in self.weighed:
+            if len(self.weighed) > 200_000:
+                self.weighed.clear()
+            self.weighed[t] = self._weigh(t)
+        return self.weighed[t]
+
+    def _weigh(self, t: str) -> float:
         if self.shares is not None:
             return log(1 / self.shares[t]) * (0.3 if len(t) == 1 else 1.0) if t else 0.0
         return self.least if t not in self.heavy and len(t) > 1 else log(1 / max(self.heavy.get(t, self.rare), 1e-9)) * (0.3 if len(t) == 1 else 1.0)
@@ -163,7 +176,7 @@ class Weights:
         if t not in self.near_:
             if len(self.near_) > 100_000:
                 self.near_.clear()
-            self.near_[t] = (t, *(g for g in self.given.get(t[0], ()) if -2 < len(g) - len(t) < 2 and edits(t, g, 1) <= 1))
+            self.near_[t] = (t, *(g for n in (-1, 0, 1) for g in self.given.get((t[0], len(t) + n), ()) if edits(t, g, 1) <= 1))
         return self.near_[t]
 
     def indirect(self, x: str, y: str) -> float:

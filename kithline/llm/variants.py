@@ -142,11 +142,12 @@ def link_variants(
         heavy, shares, order = shared.value
         weights, codes = Weights(heavy, FREQUENT, shares=shares), Codes(order)
         name = lru_cache(maxsize=50_000)(lambda f, l: Name(tokens(f, l), codes, least_grams))
+        middle = lru_cache(maxsize=50_000)(lambda m: tuple(tokens(m)))
         for x in batches:
             keys, found = x.column("k"), []
             for i, (f1, l1, m1, f2, l2, m2) in enumerate(zip(*[x.column(c).to_pylist() for c in ("f1", "l1", "m1", "f2", "l2", "m2")])):
                 a, b = name(f1, l1), name(f2, l2)
-                if a.near(b) and (s := compare(a.words, b.words, weights, tokens(m1), tokens(m2))) >= least_similarity:
+                if a.near(b) and (s := compare(a.words, b.words, weights, middle(m1), middle(m2))) >= least_similarity:
                     found.append((i, s))
             yield pa.record_batch([keys.take(pa.array([i for i, _ in found], pa.int64())), pa.array([s for _, s in found], pa.float64())], names=[key, "similarity"])
 

@@ -71,3 +71,14 @@ def test_link_variants(spark):
     link = lambda d: V.link_variants(d, key="pair_id", left=("f1", "l1", None), right=("f2", "l2", None))
     assert sorted(r.pair_id for r in link(df).collect()) == [1, 1, 5]
     assert link(df.limit(0)).count() == 0
+
+
+def test_one_edit_and_near_words_are_exact():
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(3, 6))) for _ in range(150)})
+    w = Weights(dict.fromkeys(words[:80], 0.001), 1e-4)
+    for x in words:
+        assert all((N.edits(x, y, 1) <= 1) == (N.edits(x, y, 3) <= 1) for y in words)
+        if x not in w.heavy and len(x) > 3:
+            assert set(w.near(x)) == {x} | {y for y in {*w.heavy, *N.NICKNAMES, *N._FORMAL} if len(y) > 2 and y[0] == x[0] and N.edits(x, y, 3) <= 1}
+        assert w.weigh(x) == w.weigh(x) == w._weigh(x)
