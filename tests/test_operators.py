@@ -81,6 +81,26 @@ def test_hot_keys_are_carried_few_times(spark):
     assert got.count() == got.distinct().count() == 160_000
 
 
+def test_pairs_among_shuffles_rows_once(spark, monkeypatch):
+    """Each table was shuffled to make its names distinct and again for each side of each join that it was in."""
+    r = random.Random(2)
+    some = lambda n: [(r.choice([1, 1, 1, 2, 3, None]), f"f{r.randrange(20)}", r.choice([None, "m", ""]), f"l{r.randrange(2)}") for _ in range(n)]
+    rows = [some(60), some(50), some(40)]
+    tables = [spark.createDataFrame(x, "phone_number int, first_name string, middle_name string, last_name string") for x in rows]
+    for which in ([(0, 1), (0, 2), (1, 2)], [(0, 0), (1, 1)], [(0, 0), (0, 1), (2, 0)]):
+        for chunk, share in ((100_000, 0.1), (100_000, 0.9), (7, 0.1)):
+            monkeypatch.setattr(pairs, "CHUNK", chunk)
+            got = Counter(tuple(x) for x in pairs.pairs_among(tables, which, distinct=True, hot_share=share).collect())
+            assert got == Counter((*x, *y[1:]) for a, b in which for x in set(rows[a]) for y in set(rows[b]) if x[0] == y[0] is not None)
+    assert pairs.pairs_among([tables[0].limit(0), tables[1]], [(0, 1), (0, 0)]).count() == 0
+    df = spark.range(400).selectExpr("int(1) as phone_number", "string(id) as first_name", "'m' as middle_name", "'l' as last_name")
+    monkeypatch.setattr(pairs, "CHUNK", 100_000)
+    cells = pairs._chunked([df], [(0, 0)], "phone_number", 0.01, 16)
+    assert cells.count() <= 400 * 6 and cells.select("_cell").distinct().count() >= 16
+    plan = pairs.pairs_among(tables, [(0, 0), (1, 1)], distinct=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2  # of the same rows, for the left side and the right one: one exchange, reused
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(5551234567,), (5551234568,), (None,)], "p long")
     m = df.select("p", pairs.mask_key("p", "s").alias("m")).collect()
