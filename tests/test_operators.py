@@ -97,8 +97,11 @@ def test_pairs_among_shuffles_rows_once(spark, monkeypatch):
     monkeypatch.setattr(pairs, "CHUNK", 100_000)
     cells = pairs._chunked([df], [(0, 0)], "phone_number", 0.01, 16)
     assert cells.count() <= 400 * 6 and cells.select("_cell").distinct().count() >= 16
-    plan = pairs.pairs_among(tables, [(0, 0), (1, 1)], distinct=True)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("RepartitionByExpression") == 2  # of the same rows, for the left side and the right one: one exchange, reused
+    for which in ([(0, 0), (1, 1)], [(0, 1), (0, 2), (1, 2)]):  # the left and the right side are one exchange, also where a table is on one side only
+        many = pairs.pairs_among(tables[: 1 + max(map(max, which))], which, distinct=True)
+        many.collect()
+        plan = many._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert [sum("REPARTITION_BY_NUM" in x and ("Reused" in x) == reused for x in plan.splitlines()) for reused in (False, True)] == [1, 1]
 
 
 def test_masks(spark):
